@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import decontamination, sharding, simhash, subword, toxicity, url_filter
+from voxlake.llm import decontamination, media, pieces, sharding, simhash, subword, token_counts, toxicity, url_filter
 from voxlake.llm.common import table
 
 
@@ -27,14 +27,30 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.junk_list(pages))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_sharding, op3_decontamination, op4_url_filter, op8_simhash, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_quality, op2_sharding, op3_decontamination, op4_url_filter, op5_token_counts, op6_media, op8_simhash, op9_pieces,
+        op10_toxicity,
+    )
+}
