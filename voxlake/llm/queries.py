@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxlake.llm import decontamination, media, pieces, sharding, simhash, subword, token_counts, toxicity, url_filter
+from voxlake.llm import decontamination, media, pieces, sharding, simhash, substring_dedup, subword, token_counts, toxicity, url_filter
 from voxlake.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality, op2_sharding, op3_decontamination, op4_url_filter, op5_token_counts, op6_media, op8_simhash, op9_pieces,
+        op1_quality, op2_sharding, op3_decontamination, op4_url_filter, op5_token_counts, op6_media, op7_substring_dedup, op8_simhash, op9_pieces,
         op10_toxicity,
     )
 }
