@@ -1,8 +1,58 @@
-"""The corpus pipeline: quality filter, near-dedup, substring dedup, decontamination, subword sampling."""
+"""The corpus pipeline: quality filter, near-dedup, substring dedup, decontamination, segmentation sampling.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. `run` writes each stage's result
+to the shared folder and rereads it as the next one's docs, so a lost executor costs no finished stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from voxlake.llm import decontamination, pieces, simhash, substring_dedup, subword
+from voxlake.llm.common import stored, table
+
+#: Near copies: SimHash over shingles of 5 words; at most so many of 64 bits differ.
+SHINGLE_WORDS, NEAR_BITS = 5, 6
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return subword.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return simhash.keep_first(docs, SHINGLE_WORDS, NEAR_BITS)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that a document with a smaller id has too go; every document stays."""
+    return substring_dedup.strip(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Distinct sampled segmentations of every document that is left, decoded again."""
+    return pieces.report(docs)
+
+
+STAGES = [
+    ("quality", keep_quality), ("near_dedup", drop_near_copies), ("substring_dedup", drop_repeats),
+    ("decontamination", drop_contaminated), ("pieces", sample_segmentations),
+]
+
+#: The classifier and the sampling are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, name)
+    return docs

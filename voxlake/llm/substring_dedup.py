@@ -372,7 +372,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def strip(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with the repeated words gone from text; documents that keep none are dropped.
+    """docs, all rows and columns, with the repeated words gone from text; one that keeps no word has an empty text.
 
     Words that go take the white space before them along; what is kept is otherwise unchanged."""
     columns, schema = docs.columns, docs.schema
@@ -381,7 +381,7 @@ def strip(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, keep = [], []
+            texts = []
             for text, r in zip(pdf.text, pdf.ranges, strict=True):
                 if r is not None:
                     at = [m.span() for m in word.finditer(text)]
@@ -391,7 +391,6 @@ def strip(docs: DataFrame) -> DataFrame:
                     if all(gone):
                         text = ""
                 texts.append(text)
-                keep.append(r is None or text != "")
-            yield pdf.assign(text=texts)[columns][keep]
+            yield pdf.assign(text=texts)[columns]
 
     return whole.select(*columns).unionByName(others.select(*columns, "ranges").mapInPandas(cut, schema))
