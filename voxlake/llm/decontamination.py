@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import WORD_BYTES, stored, text_bytes
+from voxlake.llm.common import WORD_BYTES, bounded, stored, text_bytes
 
 WINDOW = 10
 #: Words of benchmark text in one automaton; its nodes, about 20 a word, then take under 200 MB.
@@ -108,6 +108,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
     """Of every document: doc_id, n_words, its hit word ranges [firsts, lasts) and the items with occurring windows, sorted."""
+    bounded(docs.sparkSession)
     state = docs.select("doc_id", "text")
     parts = blocks(benchmark)
     for number, part in enumerate(parts):
@@ -165,6 +166,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with no benchmark window in their text."""
+    bounded(docs.sparkSession)
     out = docs
     parts = blocks(benchmark)
     for number, part in enumerate(parts):

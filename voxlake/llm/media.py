@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from voxlake.llm import jpeg
-from voxlake.llm.common import stored, text_bytes
+from voxlake.llm.common import bounded, stored, text_bytes
 
 UNIT = 576
 
@@ -57,6 +57,7 @@ def store(docs: DataFrame) -> DataFrame:
                 data = [text_bytes(t) for t in pdf.text[a : a + 500]]
                 yield pd.DataFrame({"doc_id": pdf.doc_id[a : a + 500].array, "n_bytes": [len(d) for d in data], "media": [to_media(d) for d in data]})
 
+    bounded(docs.sparkSession)
     return stored(docs.select("doc_id", "text").mapInPandas(encoded, "doc_id long, n_bytes long, media binary"), "media")
 
 

@@ -29,6 +29,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from voxlake.llm.common import bounded
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE, OWN_SPACE, END = 0x2581, 0x110000, 10
@@ -74,8 +76,11 @@ class Vocabulary:
         keys.sort()
         self.keys = np.array([k for k, _ in keys], np.uint64)
         self.ids = np.array([i for _, i in keys], np.int32)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.slot(self.keys)] = True
+        # Each slot names one key that falls there; keys that share a slot are looked up by bisection.
+        slots = self.slot(self.keys)
+        self.first = np.full(1 << 20, -1, np.int32)
+        self.first[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
+        self.shared = np.bincount(slots, minlength=1 << 20) > 1
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
@@ -83,11 +88,13 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, or NONE."""
-        out = np.full(len(h), NONE, np.int32)
-        maybe = np.flatnonzero(self.seen[self.slot(h)])
-        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == h[maybe]
-        out[maybe[hit]] = self.ids[at[hit]]
+        slot = self.slot(h)
+        at = self.first[slot]
+        out = np.where((at >= 0) & (self.keys[at] == h), self.ids[at], NONE)
+        crowd = np.flatnonzero(self.shared[slot])
+        if len(crowd):
+            at = np.minimum(np.searchsorted(self.keys, h[crowd]), len(self.keys) - 1)
+            out[crowd] = np.where(self.keys[at] == h[crowd], self.ids[at], NONE)
         return out
 
 
@@ -126,7 +133,11 @@ class Words:
         grid = np.where(inside, text[np.where(inside, place, 0)], -1)
         width = min(n, v.longest)
         self.ids = np.full((n, width, m), NONE, np.int32)
-        score = np.full((n, width, m), -np.inf)
+        # Short words multiply probabilities; in long ones they would underflow, so their logarithms are added.
+        short = n <= 24
+        score = np.zeros((n, width, m)) if short else np.full((n, width, m), -np.inf)
+        value = np.exp if short else np.asarray
+        piece_score = value(v.score)
         one = grid.T.astype(np.uint64) + np.uint64(1)
         for i in range(n):
             live = np.flatnonzero(inside[:, i])
@@ -136,24 +147,31 @@ class Words:
                 found = v.find(h)
                 hit = np.flatnonzero(found != NONE)
                 self.ids[i, k, live[hit]] = found[hit]
-                score[i, k, live[hit]] = v.score[found[hit]]
+                score[i, k, live[hit]] = piece_score[found[hit]]
             bare = live[self.ids[i, 0, live] == NONE]
             if len(bare):
                 c = grid[bare, i]
                 n_bytes = 1 + (c >= 128) + (c >= 0x800) + ((c >= 0x10000) & (c != OWN_SPACE))
-                score[i, 0, bare] = v.byte_score * n_bytes
-        beta = np.full((n + width + 1, m), -np.inf)
-        beta[n] = 0
-        cumulative = np.zeros((n, width, m))
-        for i in range(n - 1, -1, -1):
-            each = score[i] + beta[i + 1 : i + 1 + width]
-            top = each.max(axis=0)
-            top = np.where(np.isfinite(top), top, 0)
-            mass = np.exp(each - top)
-            total = mass.sum(axis=0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beta[i] = np.where(inside[:, i], top + np.log(total), -np.inf)
-                cumulative[i] = np.cumsum(mass / total, axis=0)
+                score[i, 0, bare] = value(v.byte_score * n_bytes)
+        cumulative = np.empty((n, width, m))
+        beta = np.zeros((n + width + 1, m)) if short else np.full((n + width + 1, m), -np.inf)
+        beta[n] = 1 if short else 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i in range(n - 1, -1, -1):
+                reach = min(width, n - i)
+                each = beta[i + 1 : i + 1 + reach]
+                if short:
+                    mass = score[i, :reach] * each
+                    running = np.cumsum(mass, axis=0)
+                    beta[i] = running[-1]
+                else:
+                    each = score[i, :reach] + each
+                    top = each.max(axis=0)
+                    top = np.where(np.isfinite(top), top, 0)
+                    running = np.cumsum(np.exp(each - top), axis=0)
+                    beta[i] = np.where(inside[:, i], top + np.log(running[-1]), -np.inf)
+                cumulative[i, :reach] = running / running[-1]
+                cumulative[i, reach:] = 1
         # One row of lengths for each (word, place): a step of a walk reads it as a whole.
         self.cumulative = np.ascontiguousarray(cumulative.transpose(2, 0, 1)).reshape(m * n, width)
         self.ids = np.ascontiguousarray(self.ids.transpose(2, 0, 1)).reshape(m * n, width)
@@ -188,7 +206,7 @@ class Batch:
         self.groups: list[Words] = []
         for s in np.unique(size):
             mine = np.flatnonzero(size == s)
-            most = max(1, (1 << 23) // int(s * min(s, v.longest)))
+            most = max(1, (1 << 20) // int(s * min(s, v.longest)))
             for a in range(0, len(mine), most):
                 part = mine[a : a + most]
                 self.group[part], self.row[part] = len(self.groups), np.arange(len(part))
@@ -198,7 +216,7 @@ class Batch:
         """An exact sample of every text, or of its words that start at or beyond a character of the batch.
 
         Per character: piece length (0 inside a piece), the probability of that length, the piece's id."""
-        taken = np.zeros(len(self.text), np.int64)
+        taken = np.zeros(len(self.text), np.int8)
         chance = np.ones(len(self.text))
         ids = np.full(len(self.text), NONE, np.int32)
         doc = np.searchsorted(self.bounds, self.start, side="right") - 1
@@ -236,6 +254,13 @@ def truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     return phi - np.log(np.exp(phi - bound) - np.log(u))
 
 
+def shares(running: np.ndarray) -> np.ndarray:
+    """The steps of a cumulative distribution."""
+    out = running.copy()
+    out[1:] -= running[:-1]
+    return out
+
+
 class Search:
     """The best-first search of one text; a node is a choice left behind on a path."""
 
@@ -265,7 +290,7 @@ class Search:
         used = {**(gone if s == first else {}), int(path[1][s]): float(np.exp(path[2][s]))}
         character = int(path[0][s])
         w, base, place, stop = self.batch.word_at(self.a + character)
-        p = np.diff(w.cumulative[base + place], prepend=0)
+        p = shares(w.cumulative[base + place])
         whole = p.copy()
         for n in used:
             p[n - 1] = 0
@@ -278,7 +303,7 @@ class Search:
             place, character = place + pick + 1, character + pick + 1
             if self.a + character >= stop:
                 break
-            p = whole = np.diff(w.cumulative[base + place], prepend=0)
+            p = whole = shares(w.cumulative[base + place])
         taken, chance, ids = walk
         tail = np.flatnonzero(taken[character:]) + character
         mine = [np.array(x) for x in zip(*steps, strict=True)]
@@ -366,16 +391,22 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(map(v.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-def ranges(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > BATCH:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int], list[str | None]]]:
+    """(ids, keys, texts) in vector batches of about BATCH characters, whatever the size of the incoming ones."""
+    ids, keys, texts, size = [], [], [], 0
+    for pdf in batches:
+        for doc, text in zip(pdf.doc_id.tolist(), pdf.text.tolist(), strict=True):
+            n = len(text or "")
+            if size and size + n > BATCH:
+                yield ids, keys, texts
+                ids, keys, texts, size = [], [], [], 0
+            none = doc is None or doc != doc
+            ids.append(None if none else int(doc))
+            keys.append(0 if none else int(doc))
+            texts.append(text)
+            size += n
+    if ids:
+        yield ids, keys, texts
 
 
 def samples(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
@@ -383,15 +414,11 @@ def samples(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for pdf in batches:
-            texts, keys = pdf.text.tolist(), [0 if pd.isna(x) else int(x) for x in pdf.doc_id]
-            for a, b in ranges(texts):
-                out = [
-                    (pdf.doc_id.iloc[a + d], number, *row)
-                    for d, rows in enumerate(sample_batch(texts[a:b], keys[a:b], k, v)) for number, row in enumerate(rows, 1)
-                ]
-                yield pd.DataFrame(out, columns=["doc_id", "sample", "log_prob", "perturbed", "inclusion", "ids"])
+        for docs, keys, texts in gathered(batches):
+            out = [(docs[d], number, *row) for d, rows in enumerate(sample_batch(texts, keys, k, v)) for number, row in enumerate(rows, 1)]
+            yield pd.DataFrame(out, columns=["doc_id", "sample", "log_prob", "perturbed", "inclusion", "ids"])
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(drawn, "doc_id long, sample int, log_prob double, perturbed double, inclusion double, ids array<int>")
 
 
@@ -411,17 +438,16 @@ def report(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
-        for pdf in batches:
-            texts, keys = pdf.text.tolist(), [0 if pd.isna(x) else int(x) for x in pdf.doc_id]
-            for a, b in ranges(texts):
-                out = []
-                for d, rows in enumerate(sample_batch(texts[a:b], keys[a:b], k, v)):
-                    for number, (logp, value, inclusion, ids) in enumerate(rows, 1):
-                        packed = ids.astype("<i4").tobytes()
-                        same = decode(ids, v) == (texts[a + d] or "")
-                        out.append((pdf.doc_id.iloc[a + d], number, len(ids), logp, value, inclusion, hashlib.sha256(packed).hexdigest(), same))
-                yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip"])
-
+        for docs, keys, texts in gathered(batches):
+            out = []
+            for d, rows in enumerate(sample_batch(texts, keys, k, v)):
+                for number, (logp, value, inclusion, ids) in enumerate(rows, 1):
+                    packed = ids.astype("<i4").tobytes()
+                    same = decode(ids, v) == (texts[d] or "")
+                    out.append((docs[d], number, len(ids), logp, value, inclusion, hashlib.sha256(packed).hexdigest(), same))
+            yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip"])
+
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(
         drawn, "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean"
     ).select("doc_id", "sample", "n_pieces", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), "inclusion", "ids_sha256", "round_trip")

@@ -27,7 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxlake.llm.common import LOWER, stored, text_bytes
+from voxlake.llm.common import LOWER, bounded, stored, text_bytes
 from voxlake.llm.components import components
 
 WORDS, TAU = 3, 2
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": np.array([fingerprint(t, words) for t in pdf.text], np.int64)})
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, fingerprint long")
 
 

@@ -31,14 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voxlake.llm.common import by_size, stored, text_bytes
+from voxlake.llm.common import bounded, by_size, stored, text_bytes
 from voxlake.llm.fm_index import FmIndex
 
 WINDOW, ANCHOR = 50, 10
 #: Distinct segments of one anchor up to which its shard searches them.
 MOST = 256
 #: Words in the segments of a shard, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 BLOCKS, LANES = 1 << 16, 8
 Q1, Q2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 BYTE = np.uint64(0x100000001B3)
@@ -165,7 +165,7 @@ def place_key(s1: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(s1.view(np.uint64) + doc.astype(np.uint64) * np.uint64(Q1) + start.astype(np.uint64) * np.uint64(Q2)).view(np.int64)
 
 
-def each(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def each(pdf: pd.DataFrame, most: int = 1 << 18) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """Texts and ids of rows whose id is not null, in ranges of bounded size."""
     pdf = pdf[pdf.doc_id.notna()]
     texts, ids = [text_bytes(t) for t in pdf.text], pdf.doc_id.to_numpy(np.int64)
@@ -243,8 +243,8 @@ def searched(pdf: pd.DataFrame) -> pd.DataFrame:
 def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(w1, w2, anchor, s1, s2, place, lo): a row for each window of each segment."""
     for pdf in batches:
-        for a in range(0, len(pdf), 2000):
-            part = pdf.iloc[a : a + 2000]
+        for a in range(0, len(pdf), 500):
+            part = pdf.iloc[a : a + 500]
             h, bounds = word_hashes([bytes(w) for w in part.words])
             n = np.diff(bounds) - WINDOW + 1
             of = np.repeat(np.arange(len(part)), n)
@@ -258,6 +258,7 @@ def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, ranges): per document the ranges [first, last) of windows that start in a smaller document too."""
+    bounded(docs.sparkSession)
     shared = stored(shared_anchors(docs), "anchors")
     segs = stored(shared_segments(docs, bloom(shared, "anchor")), "segments")
     distinct = segs.groupBy("anchor", "s1", "s2").agg(

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import by_size, held_out, labelled_sample, text_bytes
+from voxlake.llm.common import bounded, by_size, held_out, labelled_sample, text_bytes
 
 BITS, DIM = 18, 8
 #: Factor on the vectors' rate: a mean spreads a document's gradient over all its features.
@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": shared.value.score([text_bytes(t) for t in pdf.text])})
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(scored, SCHEMA)
 
 
@@ -168,4 +169,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
         for pdf in batches:
             yield pdf[shared.value.score([text_bytes(t) for t in pdf.text]) >= threshold]
 
+    bounded(docs.sparkSession)
     return docs.mapInPandas(kept, docs.schema)

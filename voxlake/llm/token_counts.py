@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from voxlake.llm.common import scratch, stored
+from voxlake.llm.common import bounded, scratch, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,6 +71,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
         else:
             system.delete_file(own)
 
+    bounded(docs.sparkSession)
     manifest = docs.select("doc_id", "text").mapInPandas(written, "file int, ordinal long, doc_id long")
     return stored(manifest, "manifest")
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import WORD_BYTES, held_out, labelled_sample, text_bytes
+from voxlake.llm.common import WORD_BYTES, bounded, held_out, labelled_sample, text_bytes
 
 #: Sets of terms that may stand for each other; a parameter of `fit`.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -135,6 +135,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": [shared.value.score(t) for t in pdf.text]})
 
+    bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(scored, "doc_id long, score double")
 
 
