@@ -1,10 +1,13 @@
 """Operator 8: SimHash near-duplicates found by the generalised pigeonhole principle.
 
 Fingerprints of 64 bits link when at most `tau` bits differ. The bits are grouped into partitions, correlated bits together,
-and each partition gets its own threshold t, -1 (not probed) upwards, such that the sum of (t + 1) is tau + 1: two linked
-fingerprints then agree within t in at least one partition. Dynamic programming picks the thresholds with the least estimated
-work, from bit counts and bit correlations of the whole corpus. Probing enumerates the values within t of a partition's
-value, rows meet by (partition, value), and every candidate is verified on all 64 bits.
+and each partition gets its own threshold t, -1 (not probed) upwards, such that the sum of (t + 1) is tau + 1 or more: two
+linked fingerprints then agree within t in at least one partition. Dynamic programming picks the thresholds with the least
+estimated work, from bit counts and bit correlations of the whole corpus. Probing enumerates the values within half of t of
+a partition's value on both sides, rows meet by (partition, value), and every candidate is verified on all bits.
+
+For similarity thresholds rather than a number of bits, fingerprints can have further lanes of 64 bits: the first lane finds
+candidates, and the bits that differ in all lanes estimate the similarity of the shingle sets closely.
 
 Equal fingerprints are one node, so groups of copies cost one row each. Within a bucket only the edges of a spanning forest
 leave the task, never all pairs. A bucket with more than `BUCKET` fingerprints is not compared as it is: its rows get new
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -31,34 +35,63 @@ from voxlake.llm.common import LOWER, bounded, stored, text_bytes
 from voxlake.llm.components import components
 
 WORDS, TAU = 3, 2
-BUCKET, DEPTH, BLOCK = 2000, 3, 2000
+BUCKET, DEPTH, BLOCK, LEADERS = 2000, 3, 1000, 16
+STEP = 0x9E3779B97F4A7C15
+
 
+def mixed(h: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes of another lane of a wide fingerprint; lane 0 is the hash itself."""
+    if not lane:
+        return h
+    x = h + np.uint64(lane * STEP & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
+
+def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1, seed: int = 42) -> np.ndarray:
+    """The bits of each lane: set where over half of the shingles' hashes have them."""
     tokens = text_bytes(text).translate(LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(lanes, np.uint64)
     n = max(1, len(tokens) - words + 1)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64)
     for k in range(0, n, 1 << 16):
         h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+        for lane in range(lanes):
+            bits = np.unpackbits(mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[lane] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fingerprint", *[f"lane{k}" for k in range(1, lanes)]]
+
+
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """One number for each row of lanes; a fingerprint of one lane is its own."""
+    out = prints[:, 0]
+    for k in range(1, prints.shape[1]):
+        out = mixed(out ^ prints[:, k], k)
+    return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint), the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """(doc_id, node, fingerprint, lane1, ...), all as signed longs."""
+    names = lane_names(lanes)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": np.array([fingerprint(t, words) for t in pdf.text], np.int64)})
+            prints = np.array([fingerprint(t, words, lanes) for t in pdf.text], np.uint64).reshape(-1, lanes)
+            columns = dict(zip(names, np.ascontiguousarray(prints.T).view(np.int64), strict=True))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "node": node_of(np.ascontiguousarray(prints)), **columns})
 
     bounded(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, fingerprint long")
+    return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
 @dataclass(frozen=True)
@@ -73,11 +106,17 @@ class Part:
         return out
 
     def masks(self) -> np.ndarray:
-        """What to flip to reach every value within the threshold."""
-        flips = [sum(1 << k for k in c) for r in range(self.threshold + 1) for c in combinations(range(len(self.bits)), r)]
+        """What to flip to reach every value within the radius."""
+        reach = radius(self.threshold)
+        flips = [sum(1 << k for k in c) for r in range(reach + 1) for c in combinations(range(len(self.bits)), r)]
         return np.array(flips, np.uint64)
 
 
+def radius(threshold: int) -> int:
+    """Both sides of a link probe, so each goes half of the way: two values within the threshold have one between them."""
+    return (threshold + 1) // 2
+
+
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints, and how many have both bit i and bit j, over all of them."""
 
@@ -136,80 +175,126 @@ def allocate(n: int, both: np.ndarray, tau: int) -> list[Part]:
         least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
             chance, grown = within(p[list(g)], link[np.ix_(g, g)]), {}
-            for t in range(-1, min(tau, 3) + 1):
-                keys = sum(len(list(combinations(range(len(g)), r))) for r in range(t + 1)) if t < 3 or len(g) < 20 else 1e9
-                work = 0.0 if t < 0 else 200.0 * n * (keys + (t > 0)) + n * n / 2 * chance[t]
+            for t in (-1, 0, 2, 4):
+                reach = radius(t)
+                keys = 0 if t < 0 else sum(comb(len(g), r) for r in range(reach + 1))
+                work = 0.0 if t < 0 else 200.0 * n * (keys + reach) + n * n / 2 * chance[min(2 * reach, len(g))] * (1 + keys) / 2
                 for used, (so_far, chosen) in least.items():
-                    if used + t + 1 <= tau + 1 and (used + t + 1 not in grown or so_far + work < grown[used + t + 1][0]):
-                        grown[used + t + 1] = (so_far + work, [*chosen, t])
+                    total = min(tau + 1, used + t + 1)
+                    if total not in grown or so_far + work < grown[total][0]:
+                        grown[total] = (so_far + work, [*chosen, t])
             least = grown
         if tau + 1 in least and (best is None or least[tau + 1][0] < best[0]):
             best = (least[tau + 1][0], [Part(g, t) for g, t in zip(groups, least[tau + 1][1], strict=True)])
     return best[1]
 
 
-def probes(prints: DataFrame, parts: list[Part]) -> DataFrame:
-    """(part, value, rest, fingerprint): a row for each value that a fingerprint probes."""
+def lanes_of(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    """The fingerprints of a batch, a row of lanes each."""
+    return np.stack([pdf[c].to_numpy(np.int64).view(np.uint64) for c in names], axis=1)
+
+
+def probes(nodes: DataFrame, parts: list[Part], lanes: int = 1) -> DataFrame:
+    """(part, value, rest, fingerprint, lane1, ...): a row for each value that a fingerprint probes."""
+    names = lane_names(lanes)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            f = pdf.fingerprint.to_numpy(np.int64).view(np.uint64)
+            f = lanes_of(pdf, names)
             for number, part in enumerate(parts):
                 if part.threshold >= 0:
-                    own, masks = part.values(f), part.masks()
+                    own, masks = part.values(f[:, 0]), part.masks()
                     for a in range(0, len(f), max(1, (1 << 18) // len(masks))):
                         b = a + max(1, (1 << 18) // len(masks))
                         value = (own[a:b, None] ^ masks[None, :]).ravel()
-                        yield pd.DataFrame({"part": np.int32(number), "value": value.view(np.int64), "rest": 0, "fingerprint": np.repeat(f[a:b], len(masks)).view(np.int64)})
-
-    return prints.select("fingerprint").mapInPandas(keyed, "part int, value long, rest long, fingerprint long")
-
-
-def forest(f: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct sorted fingerprints, compared block by block."""
-    root = np.arange(len(f))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    for a in range(0, len(f), BLOCK):
-        for b in range(a, len(f), BLOCK):
-            near = np.bitwise_count(f[a : a + BLOCK, None] ^ f[None, b : b + BLOCK]) <= tau
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = find(a + i), find(b + j)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    edges.append((int(f[a + i]), int(f[b + j])))
+                        columns = {c: np.repeat(f[a:b, k], len(masks)).view(np.int64) for k, c in enumerate(names)}
+                        yield pd.DataFrame({"part": np.int32(number), "value": value.view(np.int64), "rest": 0, **columns})
+
+    return nodes.select(*names).mapInPandas(keyed, "part int, value long, rest long, " + ", ".join(f"{c} long" for c in names))
+
+
+def near(a: np.ndarray, b: np.ndarray, tau: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the links between two blocks: at most tau bits of the first lane differ, and at most `most` of all."""
+    i, j = np.nonzero(np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= tau)
+    if most is not None and len(i):
+        ok = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int32) <= most
+        i, j = i[ok], j[ok]
+    return i, j
+
+
+def forest(f: np.ndarray, tau: int, most: int | None = None) -> list[np.ndarray]:
+    """Edges (arrays of two columns, places in f) of a spanning forest of all links, compared block by block.
+
+    In a large bucket whole components are grown from a few leaders first, each member against what is left only, so a group
+    of near copies that fills the bucket costs little more than its size."""
+    edges, rest = [], np.arange(len(f))
+    for k in range(LEADERS):
+        if len(rest) <= BLOCK:
+            break
+        at = int((k * 0.6180339887) % 1 * len(rest))
+        front, rest = rest[at : at + 1], np.delete(rest, at)
+        while len(front) and len(rest):
+            found = np.full(len(rest), -1)
+            for a in range(0, len(front), BLOCK):
+                left = np.flatnonzero(found < 0)
+                for b in range(0, len(left), BLOCK):
+                    part = left[b : b + BLOCK]
+                    i, j = near(f[front[a : a + BLOCK]], f[rest[part]], tau, most)
+                    found[part[j]] = front[a : a + BLOCK][i]
+            new = found >= 0
+            edges.append(np.stack([found[new], rest[new]], axis=1))
+            front, rest = rest[new], rest[~new]
+    label = np.arange(len(rest))
+    for a in range(0, len(rest), BLOCK):
+        for b in range(a, len(rest), BLOCK):
+            i, j = near(f[rest[a : a + BLOCK]], f[rest[b : b + BLOCK]], tau, most)
+            i, j = i + a, j + b
+            apart = i < j
+            i, j = i[apart], j[apart]
+            while len(i):
+                high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+                apart = high != low
+                i, j, high, low = i[apart], j[apart], high[apart], low[apart]
+                if not len(i):
+                    break
+                _, once = np.unique(high, return_index=True)
+                edges.append(np.stack([rest[i[once]], rest[j[once]]], axis=1))
+                parent = np.arange(len(rest))
+                parent[high[once]] = low[once]
+                while not np.array_equal(parent, up := parent[parent]):
+                    parent = up
+                label = parent[label]
     return edges
 
 
-def verify(keyed: DataFrame, tau: int, last: bool) -> DataFrame:
-    """Rows (a, b, part, value, rest): edges with part -1, and the rows of buckets that are too large."""
+def verify(keyed: DataFrame, tau: int, last: bool, lanes: int = 1, most: int | None = None) -> DataFrame:
+    """Rows (a, b, part, value, rest): edges between nodes with part -1, and the rows of buckets that are too large."""
+    names = lane_names(lanes)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        edges: list[tuple[int, int]] = []
+        held: list[np.ndarray] = []
+        edges: list[np.ndarray] = []
         key, size, over = None, 0, False
 
         def closed() -> None:
             if size > 1 and not over:
-                f = np.unique(np.concatenate([x.fingerprint.to_numpy(np.int64) for x in held]).view(np.uint64))
+                f = held[0] if len(held) == 1 else np.concatenate(held)
                 if len(f) == 2:
-                    if int(f[0] ^ f[1]).bit_count() <= tau:
-                        edges.append((int(f[0]), int(f[1])))
+                    x = np.bitwise_count(f[0] ^ f[1])
+                    if x[0] <= tau and (most is None or int(x.sum(dtype=np.int32)) <= most):
+                        edges.append(node_of(f)[None])
                 elif len(f) > 2:
-                    edges.extend(forest(f, tau))
+                    node = node_of(f)
+                    edges.extend(node[e] for e in forest(f, tau, most))
             held.clear()
 
-        def large(x: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"a": x.fingerprint, "b": x.fingerprint, "part": x.part, "value": x.value, "rest": x.rest})
+        def told() -> pd.DataFrame:
+            e = np.concatenate(edges)
+            edges.clear()
+            return pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "part": np.int32(-1), "value": 0, "rest": 0})
 
         for pdf in batches:
-            columns = [pdf[c].to_numpy() for c in ("part", "value", "rest")]
+            f, columns = lanes_of(pdf, names), [pdf[c].to_numpy() for c in ("part", "value", "rest")]
             new = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))) if len(pdf) else []
             for a, b in zip(new, np.append(new[1:], len(pdf)), strict=True) if len(pdf) else ():
                 mine = (columns[0][a], columns[1][a], columns[2][a])
@@ -219,20 +304,18 @@ def verify(keyed: DataFrame, tau: int, last: bool) -> DataFrame:
                     if b - a == 1 and b < len(pdf):
                         size = 1  # alone in its bucket
                         continue
-                held.append(pdf.iloc[a:b])
+                held.append(f[a:b])
                 size += b - a
                 if size > BUCKET and not last:
                     over = True
-                    yield large(pd.concat(held))
+                    rows = np.concatenate(held)[:, 0].view(np.int64)
+                    yield pd.DataFrame({"a": rows, "b": rows, "part": np.int32(mine[0]), "value": mine[1], "rest": mine[2]})
                     held.clear()
             if edges:
-                e = np.array(edges, np.uint64).view(np.int64)
-                edges.clear()
-                yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "part": np.int32(-1), "value": 0, "rest": 0})
+                yield told()
         closed()
         if edges:
-            e = np.array(edges, np.uint64).view(np.int64)
-            yield pd.DataFrame({"a": e[:, 0], "b": e[:, 1], "part": np.int32(-1), "value": 0, "rest": 0})
+            yield told()
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "part", "value", "rest").sortWithinPartitions("part", "value", "rest")
@@ -258,40 +341,45 @@ def finer(rows: DataFrame, parts: list[Part], tau: int, depth: int) -> DataFrame
     return rows.mapInPandas(keyed, "part int, value long, rest long, fingerprint long")
 
 
-def links(prints: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): edges whose components are those of all links among the distinct fingerprints."""
-    n, both = bit_statistics(prints)
+def links(nodes: DataFrame, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
+    """(a, b): edges whose components are those of all links among the distinct fingerprints.
+
+    Wide fingerprints (several lanes) link at many differing bits, so parts of what is outside a partition would not tell
+    them apart; their buckets are compared block by block at once."""
+    n, both = bit_statistics(nodes)
     parts = allocate(n, both, tau)
-    edges, keyed = None, probes(prints, parts)
-    for depth in range(DEPTH + 1):
-        found = stored(verify(keyed, tau, depth == DEPTH), "links")
+    edges, keyed, depths = None, probes(nodes, parts, lanes), 0 if lanes > 1 else DEPTH
+    for depth in range(depths + 1):
+        found = stored(verify(keyed, tau, depth == depths, lanes, most), "links")
         new = found.where("part < 0").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         large = found.where("part >= 0")
-        if depth == DEPTH or large.isEmpty():
+        if depth == depths or large.isEmpty():
             return edges
         keyed = finer(large, parts, tau, depth + 1)
 
 
-def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
+def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
     """(doc_id, fingerprint as a signed long, component_id) of every row."""
-    prints = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes, tau)).withColumnRenamed("a", "fingerprint")
-    named = nodes.join(roots, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
+    prints = stored(fingerprints(docs, words, lanes), "fingerprints")
+    nodes = stored(prints.groupBy("node", *lane_names(lanes)).agg(F.min("doc_id").alias("first")), "nodes")
+    roots = components(links(nodes, tau, lanes, most)).withColumnRenamed("a", "node")
+    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     least = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("first").alias("least"))
-    labels = named.join(least, "root", "left").select("fingerprint", F.least("first", "least").alias("component_id"))
-    return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    labels = named.join(least, "root", "left").select("node", F.least("first", "least").alias("component_id"))
+    return prints.join(labels, "node").select("doc_id", "fingerprint", "component_id")
 
 
 def report(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     return grouped(docs, words, tau).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
-    """The rows of docs, all columns, with one document, that of the smallest id, of each group; of repeated ids one row."""
-    groups = grouped(docs, words, tau)
+def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
+    """The rows of docs, all columns, with one document, that of the smallest id, of each group; of repeated ids one row.
+
+    Rows without an id stay: none of them can be told apart as the first."""
+    groups = grouped(docs, words, tau, lanes, most)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy("text")
     kept = docs.join(first, "doc_id", "left_semi").withColumn("row_", F.row_number().over(once)).where("row_ = 1").drop("row_")
-    return kept.select(docs.columns)
+    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
