@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -326,27 +326,41 @@ def covered(n: int, ranges) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def doc_keys(docs: DataFrame) -> DataFrame:
-    """docs with column text_key_, the hash of the text that the passes use."""
+def text_places(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return place_key(keys, ids, np.zeros(len(ids), np.int64))
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(text_key_=[text_key(text_bytes(t)) for t in pdf.text])
 
-    return docs.mapInPandas(keyed, StructType([*docs.schema.fields, StructField("text_key_", LongType())]))
+def judged(docs: DataFrame, changed: DataFrame, tell: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """`tell` of every row of docs, with column ranges: null where the document surely keeps all words.
+
+    A Bloom filter of the changed texts tells these apart, so only the others' texts are shuffled, to meet their ranges. Each
+    task runs one Python worker: finding the rows and telling of them are one step on either side."""
+    changed = stored(changed, "repeats")
+    keyed = changed.select("doc_id", "text_key").mapInPandas(
+        lambda it: (pd.DataFrame({"key": text_places(p.doc_id.to_numpy(np.int64), p.text_key.to_numpy(np.int64))}) for p in it), "key long"
+    )
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(keyed, "key"))
 
+    def marked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array([text_key(text_bytes(t)) for t in pdf.text], np.int64)
+        known = pdf.doc_id.notna().to_numpy()
+        ids = pdf.doc_id.where(known, 0).to_numpy().astype(np.int64)
+        return known & maybe(filter_.value, text_places(ids, keys)), keys
+
+    def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield tell(pdf[~marked(pdf)[0]].assign(ranges=None))
 
-def split_off(docs: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that surely keep all words, and the others with their ranges; only the others' texts are shuffled."""
-    key = F.xxhash64("doc_id", "text_key")
-    changed = stored(changed.withColumn("key_", key), "repeats")
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(changed, "key_"))
-    keyed = doc_keys(docs).withColumn("key_", F.xxhash64("doc_id", "text_key_"))
-    probe = F.pandas_udf(lambda s: pd.Series(maybe(filter_.value, s.to_numpy(np.int64))), "boolean")
-    keyed = keyed.withColumn("maybe_", probe("key_"))
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found, keys = marked(pdf)
+            yield pdf.assign(text_key_=keys)[found]
+
+    found = docs.mapInPandas(others, StructType([*docs.schema.fields, StructField("text_key_", LongType())]))
     ranges = changed.select(F.col("doc_id").alias("doc_id_"), F.col("text_key").alias("other_key_"), "ranges")
     same = (F.col("doc_id") == F.col("doc_id_")) & (F.col("text_key_") == F.col("other_key_"))
-    return keyed.where("NOT maybe_"), keyed.where("maybe_").join(ranges, same, "left")
+    met = found.join(ranges, same, "left").select(*[found[c] for c in docs.columns], ranges["ranges"])
+    return docs.mapInPandas(sure, schema).unionByName(met.mapInPandas(lambda it: map(tell, it), schema))
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -355,21 +369,18 @@ REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
-    whole, others = split_off(docs, repeats(docs))
 
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            ranges = pdf.ranges if "ranges" in pdf else [None] * len(pdf)
-            for doc, text, r in zip(pdf.doc_id, pdf.text, ranges, strict=True):
-                words = text_bytes(text).split()
-                n = len(words)
-                if r is not None:
-                    words = [w for w, gone in zip(words, covered(n, r).tolist(), strict=True) if not gone]
-                out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for doc, text, r in zip(pdf.doc_id, pdf.text, pdf.ranges, strict=True):
+            words = text_bytes(text).split()
+            n = len(words)
+            if r is not None:
+                words = [w for w, gone in zip(words, covered(n, r).tolist(), strict=True) if not gone]
+            out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return whole.select("doc_id", "text").mapInPandas(told, REPORT).unionByName(others.select("doc_id", "text", "ranges").mapInPandas(told, REPORT))
+    return judged(docs, repeats(docs), told, REPORT)
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -377,21 +388,19 @@ def strip(docs: DataFrame) -> DataFrame:
 
     Words that go take the white space before them along; what is kept is otherwise unchanged."""
     columns, schema = docs.columns, docs.schema
-    whole, others = split_off(docs, repeats(docs.select("doc_id", "text")))
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for text, r in zip(pdf.text, pdf.ranges, strict=True):
-                if r is not None:
-                    at = [m.span() for m in word.finditer(text)]
-                    gone = covered(len(at), r).tolist()
-                    ends = [0, *[b for _, b in at]]
-                    text = "".join(text[ends[k] : ends[k + 1]] for k in range(len(at)) if not gone[k]) + text[ends[-1] :]
-                    if all(gone):
-                        text = ""
-                texts.append(text)
-            yield pdf.assign(text=texts)[columns]
-
-    return whole.select(*columns).unionByName(others.select(*columns, "ranges").mapInPandas(cut, schema))
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = []
+        for text, r in zip(pdf.text, pdf.ranges, strict=True):
+            if r is not None:
+                at = [m.span() for m in word.finditer(text)]
+                gone = covered(len(at), r).tolist()
+                ends = [0, *[b for _, b in at]]
+                text = "".join(text[ends[k] : ends[k + 1]] for k in range(len(at)) if not gone[k]) + text[ends[-1] :]
+                if all(gone):
+                    text = ""
+            texts.append(text)
+        return pdf.assign(text=texts)[columns]
+
+    return judged(docs, repeats(docs.select("doc_id", "text")), cut, schema)
