@@ -135,7 +135,7 @@ query("format_by_extension", lambda s, d: files(s, d)[0].select("path", pairing.
 
 
 def nearest_events(s: SparkSession, d: str) -> DataFrame:
-    events = s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", (F.unix_micros("ts") / 1e6).alias("pos"))
+    events = s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("pos"))
     kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
     left = events.where(F.col("event_type") == kinds[0]).select("user_id", "event_id", "pos")
     right = events.where(F.col("event_type") == kinds[1]).groupBy("user_id", "pos").agg(F.min("event_id").alias("event_id"))

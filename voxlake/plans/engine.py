@@ -10,6 +10,7 @@ from voxlake.operators import firstorder, prep, shape, texture
 from voxlake.operators.aggregate import by_mode
 from voxlake.operators.texture import MODES3, MODES6, ROI
 from voxlake.plans.registry import CATEGORIES, DIMENSIONS, FAMILIES, parse, select_columns
+from voxlake.plans.storage import stored
 
 
 def modes_of(dims: Sequence[str], modes: Sequence[str]) -> list[str]:
@@ -61,7 +62,8 @@ def extract(
     # A family without a row for a region (too few voxels) leaves its columns null; the region stays.
     out = vox.select(*ROI).distinct()
     for p in parts:
-        out = out.join(p, ROI, "left")
+        # Each family is written once: a join of all their plans would be planned for longer than it runs.
+        out = out.join(stored(p, "family"), ROI, "left")
     return out.select(*ROI, *select_columns(categories, dimensions))
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Lets joins on (image, region, place) use a partitioning by (image, region), so voxels move once, before the explode."""
+    """Lets joins on (image, region, place) use a partitioning by (image, region), so voxels move once, before the explode.
+
+    A union must not claim its parts' partitioning: it has their partitions one after another, which joins can't zip."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
