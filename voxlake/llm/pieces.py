@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE, OWN_SPACE, END = 0x2581, 0x110000, 10
 #: Characters of text in one vector batch.
-BATCH = 1 << 21
+BATCH = 1 << 19
 P = np.uint64(0x100000001B3)
 _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, P))])
 _INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
