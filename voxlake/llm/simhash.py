@@ -6,8 +6,11 @@ linked fingerprints then agree within t in at least one partition. Dynamic progr
 estimated work, from bit counts and bit correlations of the whole corpus. Probing enumerates the values within half of t of
 a partition's value on both sides, rows meet by (partition, value), and every candidate is verified on all bits.
 
-For similarity thresholds rather than a number of bits, fingerprints can have further lanes of 64 bits: the first lane finds
-candidates, and the bits that differ in all lanes estimate the similarity of the shingle sets closely.
+For similarity thresholds rather than a number of bits (`keep_first`), a fingerprint is of the SET of shingles, each counted
+once, and has further lanes of 64 bits: the first lane finds candidates, the bits that differ in all lanes pick those worth a
+look, and every link is proven by the Jaccard similarity of the two sets of shingle hashes. Candidate links are proven along
+a spanning forest first. Only where a link of a group fails are the other candidates of that group looked at, those between
+its proven pieces, in cells of bounded size.
 
 Equal fingerprints are one node, so groups of copies cost one row each. Within a bucket only the edges of a spanning forest
 leave the task, never all pairs. A bucket with more than `BUCKET` fingerprints is not compared as it is: its rows get new
@@ -36,6 +39,7 @@ from voxlake.llm.components import components
 
 WORDS, TAU = 3, 2
 BUCKET, DEPTH, BLOCK, LEADERS = 2000, 3, 1000, 16
+SIMILARITY, CELL = 0.8, 500
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -49,23 +53,33 @@ def mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1, seed: int = 42) -> np.ndarray:
-    """The bits of each lane: set where over half of the shingles' hashes have them."""
+def shingles(text: str | None, words: int = WORDS, seed: int = 42) -> np.ndarray:
+    """The hash of every shingle in order, repeats included; a shorter text is one shingle, one without words has none."""
     tokens = text_bytes(text).translate(LOWER).split()
     if not tokens:
-        return np.zeros(lanes, np.uint64)
+        return np.zeros(0, np.uint64)
     n = max(1, len(tokens) - words + 1)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((lanes, 64), np.int64)
-    for k in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """The bits of each lane: set where over half of the hashes have them."""
+    counts = np.zeros((lanes, 64), np.int64)
+    for k in range(0, len(hashes), 1 << 16):
         for lane in range(lanes):
-            bits = np.unpackbits(mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(mixed(hashes[k : k + (1 << 16)], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[lane] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, words: int = WORDS, lanes: int = 1, seed: int = 42) -> np.ndarray:
+    """The majority bits of all shingles, repeats included."""
+    return majority(shingles(text, words, seed), lanes)
 
 
 def lane_names(lanes: int) -> list[str]:
@@ -94,6 +108,24 @@ def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
+def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """(doc_id, node, set_id, hashes, fingerprint, lane1, ...): of the set of shingles; hashes are its sorted bytes."""
+    names = lane_names(lanes)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingles(t, words)) for t in pdf.text]
+            prints = np.array([majority(s, lanes) for s in sets], np.uint64).reshape(-1, lanes)
+            columns = dict(zip(names, np.ascontiguousarray(prints.T).view(np.int64), strict=True))
+            hashes = [s.tobytes() for s in sets]
+            set_id = np.array([xxhash.xxh64_intdigest(h) for h in hashes], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "node": node_of(np.ascontiguousarray(prints)), "set_id": set_id, "hashes": hashes, **columns})
+
+    bounded(docs.sparkSession)
+    schema = "doc_id long, node long, set_id long, hashes binary, " + ", ".join(f"{c} long" for c in names)
+    return docs.select("doc_id", "text").mapInPandas(made, schema)
+
+
 @dataclass(frozen=True)
 class Part:
     bits: tuple[int, ...]
@@ -359,6 +391,103 @@ def links(nodes: DataFrame, tau: int = TAU, lanes: int = 1, most: int | None = N
         keyed = finer(large, parts, tau, depth + 1)
 
 
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have a Jaccard similarity of `least` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) >= least
+
+
+def proven(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, root) with the column linked: whether the two sets are similar."""
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            linked = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(pdf.x, pdf.y, strict=True)]
+            yield pdf[["a", "b", "root"]].assign(linked=np.array(linked, bool))
+
+    both = pairs.join(hashes.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(hashes.select(F.col("set_id").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "root", "x", "y").mapInPandas(compared, "a long, b long, root long, linked boolean")
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """The rows (root, piece, set_id, ...) dealt out so that any two of a root that are in different pieces meet in a cell.
+
+    A piece of over `CELL` sets has groups of its own, which never meet each other; other pieces share groups."""
+    large = rows.groupBy("root", "piece").count().where(F.col("count") > CELL).select("root", "piece", F.col("piece").alias("kind"))
+    rows = rows.join(large, ["root", "piece"], "left")
+    sizes = rows.groupBy("root", "kind").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    groups = sizes.select("root", F.col("kind").alias("other_kind"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("k"))
+    name = lambda kind, k: F.concat_ws(":", F.coalesce(kind.cast("string"), F.lit("")), k.cast("string"))
+    groups = groups.select("root", "other_kind", name(F.col("other_kind"), F.col("k")).alias("other"))
+    sizes = sizes.select(F.col("root").alias("root_"), F.col("kind").alias("kind_"), "parts")
+    rows = rows.join(sizes, (F.col("root") == F.col("root_")) & F.col("kind").eqNullSafe(F.col("kind_"))).drop("root_", "kind_")
+    rows = rows.withColumn("own", name(F.col("kind"), F.pmod(F.xxhash64("set_id"), F.col("parts"))))
+    apart = F.col("kind").isNull() | F.col("other_kind").isNull() | (F.col("kind") != F.col("other_kind"))
+    met = rows.join(groups.withColumnRenamed("root", "root_"), (F.col("root") == F.col("root_")) & apart)
+    return met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("root_", "kind", "other_kind", "other", "parts")
+
+
+def cell_links(rows: DataFrame, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
+    """(a, b): proven links between the pieces of each root, of all candidates there those that a spanning forest needs."""
+    names, key = lane_names(lanes), ["root", "lo", "hi"]
+
+    def linked(cell: pd.DataFrame) -> list[tuple[int, int]]:
+        f, ids, own = lanes_of(cell, names), cell.set_id.to_numpy(), pd.factorize(cell.own)[0]
+        sets, out = [np.frombuffer(h, np.uint64) for h in cell.hashes], []
+        label = pd.factorize(cell.piece)[0]
+        for a in range(0, len(f), BLOCK):
+            for b in range(a, len(f), BLOCK):
+                i, j = near(f[a : a + BLOCK], f[b : b + BLOCK], tau, most)
+                i, j = i + a, j + b
+                wanted = (i < j) & (label[i] != label[j]) & ((own[i] != own[j]) | (cell.lo.iat[0] == cell.hi.iat[0]))
+                for x, y in zip(i[wanted].tolist(), j[wanted].tolist(), strict=True):
+                    if label[x] != label[y] and similar(sets[x], sets[y], least):
+                        label[label == label[y]] = label[x]
+                        out.append((ids[x], ids[y]))
+        return out
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            cells = [c for _, c in pdf.groupby(key, sort=False)]
+            for cell in cells:
+                if held and tuple(held[0][key].iloc[0]) != tuple(cell[key].iloc[0]):
+                    yield pd.DataFrame(linked(pd.concat(held, ignore_index=True)), columns=["a", "b"], dtype=np.int64)
+                    held = []
+                held.append(cell)
+        if held:
+            yield pd.DataFrame(linked(pd.concat(held, ignore_index=True)), columns=["a", "b"], dtype=np.int64)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return in_cells(rows).repartition(n, *key).sortWithinPartitions(*key).mapInPandas(compared, "a long, b long")
+
+
+def set_links(prints: DataFrame, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
+    """(a, b): proven links of sets, whose components are those of all candidate pairs that are similar enough."""
+    names = lane_names(lanes)
+    nodes = stored(prints.select("node", *names).distinct(), "nodes")
+    found = links(nodes, tau, lanes, most).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    found = stored(found, "candidates")
+    roots = components(found).withColumnRenamed("a", "node")
+    sets = stored(prints.select("set_id", "node", *names).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sets")
+    # One set stands for all of a fingerprint; the others of that fingerprint are candidates to it.
+    first = sets.groupBy("node", "root").agg(F.min("set_id").alias("rep"))
+    pairs = found.join(first.select(F.col("node").alias("a"), F.col("rep").alias("ra"), "root"), "a").join(first.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
+    pairs = pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "root")
+    same = sets.join(first.select("node", "rep"), "node").where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b"), "root")
+    pairs = stored(pairs.unionByName(same), "pairs")
+    needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    hashes = stored(prints.select("set_id", "hashes").join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.first("hashes").alias("hashes")), "hashes")
+    told = stored(proven(pairs, hashes, least), "proven")
+    edges, doubtful = told.where("linked").select("a", "b"), told.where("NOT linked").select("root").distinct()
+    pieces = components(edges).select(F.col("a").alias("set_id"), F.col("root").alias("piece"))
+    rows = sets.join(doubtful, "root", "left_semi").join(pieces, "set_id", "left").withColumn("piece", F.coalesce("piece", "set_id"))
+    return edges.unionByName(stored(cell_links(rows.join(hashes, "set_id"), tau, lanes, most, least), "links"))
+
+
 def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
     """(doc_id, fingerprint as a signed long, component_id) of every row."""
     prints = stored(fingerprints(docs, words, lanes), "fingerprints")
@@ -370,16 +499,23 @@ def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1,
     return prints.join(labels, "node").select("doc_id", "fingerprint", "component_id")
 
 
+def grouped_sets(docs: DataFrame, words: int, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
+    """(doc_id, root) of every row: rows with one root are a group by proven links between their sets of shingles."""
+    prints = stored(set_fingerprints(docs, words, lanes), "fingerprints")
+    roots = components(set_links(prints, tau, lanes, most, least)).withColumnRenamed("a", "set_id")
+    return prints.select("doc_id", "set_id").join(roots, "set_id", "left").select("doc_id", F.coalesce("root", "set_id").alias("root"))
+
+
 def report(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     return grouped(docs, words, tau).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, with one document, that of the smallest id, of each group; of repeated ids one row.
 
     Rows without an id stay: none of them can be told apart as the first."""
-    groups = grouped(docs, words, tau, lanes, most)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    groups = grouped_sets(docs, words, tau, lanes, most, least)
+    first = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy("text")
     kept = docs.join(first, "doc_id", "left_semi").withColumn("row_", F.row_number().over(once)).where("row_ = 1").drop("row_")
     return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
