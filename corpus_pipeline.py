@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One row of each group of near copies stays, that with the smallest id; rows without an id come last."""
     return simhash.keep_first(docs, SHINGLE_WORDS, FIRST_LANE_BITS, LANES, ALL_BITS, SIMILARITY)
 
 

@@ -58,10 +58,19 @@ def test_near_copies_are_components_of_exact_similarity(spark, monkeypatch):
         found = simhash.grouped_sets(docs, 5, 30, 4, most, 0.8).collect()
         least = {}
         for r in found:
-            least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
-        assert {r.doc_id: least[r.root] for r in found} == {d: find(d) for d, _ in rows}
+            least[r.root] = min(r.id, least.get(r.root, r.id))
+        assert {r.id: least[r.root] for r in found} == {d: find(d) for d, _ in rows}
 
 
 @pytest.mark.parametrize(("a", "b", "linked"), [(range(8), range(10), True), (range(79), range(100), False), (range(4), range(1, 5), False)])
 def test_similarity_of_sets_is_exact(a, b, linked):
     assert simhash.similar(np.array(a, np.uint64), np.array(b, np.uint64), 0.8) is linked
+
+
+def test_one_row_of_each_group_stays(spark):
+    """One id with two texts keeps both groups; exact copies without an id become one row, near copies of a named row go."""
+    big, a, b, c = (1 << 53) + 1, own(60), own(60), own(60)
+    rows = [(5, a), (5, b), (5, b), (9, a), (None, c), (None, c), (None, b), (big, own(60)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    found = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs, 5, 14, 4, 44).collect()), key=str)
+    assert found == sorted([(5, a), (5, b), (None, c), rows[7], (None, None)], key=str)

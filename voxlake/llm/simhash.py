@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voxlake.llm.common import LOWER, bounded, stored, text_bytes
 from voxlake.llm.components import components
@@ -108,8 +108,13 @@ def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(made, "doc_id long, node long, " + ", ".join(f"{c} long" for c in names))
 
 
+def row_key() -> dict[str, F.Column]:
+    """What tells rows apart: no column is null, so that no id passes through floating point on its way to Python."""
+    return {"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "text_id": F.xxhash64("text")}
+
+
 def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(doc_id, node, set_id, hashes, fingerprint, lane1, ...): of the set of shingles; hashes are its sorted bytes."""
+    """(no_id, id, text_id, node, set_id, hashes, fingerprint, lane1, ...): of the set of shingles; hashes are its sorted bytes."""
     names = lane_names(lanes)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,11 +124,11 @@ def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
             columns = dict(zip(names, np.ascontiguousarray(prints.T).view(np.int64), strict=True))
             hashes = [s.tobytes() for s in sets]
             set_id = np.array([xxhash.xxh64_intdigest(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "node": node_of(np.ascontiguousarray(prints)), "set_id": set_id, "hashes": hashes, **columns})
+            yield pd.DataFrame({"no_id": pdf.no_id, "id": pdf.id, "text_id": pdf.text_id, "node": node_of(np.ascontiguousarray(prints)), "set_id": set_id, "hashes": hashes, **columns})
 
     bounded(docs.sparkSession)
-    schema = "doc_id long, node long, set_id long, hashes binary, " + ", ".join(f"{c} long" for c in names)
-    return docs.select("doc_id", "text").mapInPandas(made, schema)
+    schema = "no_id boolean, id long, text_id long, node long, set_id long, hashes binary, " + ", ".join(f"{c} long" for c in names)
+    return docs.select(*[c.alias(name) for name, c in row_key().items()], "text").mapInPandas(made, schema)
 
 
 @dataclass(frozen=True)
@@ -500,10 +505,10 @@ def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1,
 
 
 def grouped_sets(docs: DataFrame, words: int, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
-    """(doc_id, root) of every row: rows with one root are a group by proven links between their sets of shingles."""
+    """(no_id, id, text_id, root) of every row: rows with one root are a group by proven links between their sets of shingles."""
     prints = stored(set_fingerprints(docs, words, lanes), "fingerprints")
     roots = components(set_links(prints, tau, lanes, most, least)).withColumnRenamed("a", "set_id")
-    return prints.select("doc_id", "set_id").join(roots, "set_id", "left").select("doc_id", F.coalesce("root", "set_id").alias("root"))
+    return prints.select("no_id", "id", "text_id", "set_id").join(roots, "set_id", "left").select("no_id", "id", "text_id", F.coalesce("root", "set_id").alias("root"))
 
 
 def report(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
@@ -511,11 +516,13 @@ def report(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, with one document, that of the smallest id, of each group; of repeated ids one row.
+    """The rows of docs, all columns, with one row of each group: the smallest id, then the least hash of the text.
 
-    Rows without an id stay: none of them can be told apart as the first."""
+    Rows are told apart by id and text, so different groups under one id each keep a row; rows without an id come last in
+    their group, and a group of such rows only keeps one of them."""
     groups = grouped_sets(docs, words, tau, lanes, most, least)
-    first = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("row_", F.row_number().over(once)).where("row_ = 1").drop("row_")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    first = groups.groupBy("root").agg(F.min(F.struct("no_id", "id", "text_id")).alias("first")).select("first.*")
+    keys = [c.alias(f"{name}_") for name, c in row_key().items()]
+    same = [F.col(f"{name}_") == F.col(name) for name in row_key()]
+    kept = docs.select("*", *keys).join(first, same, "left_semi").dropDuplicates([f"{name}_" for name in row_key()])
+    return kept.select(docs.columns)
