@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voxlake.llm import simhash
+from voxlake.llm import simhash, url_filter
 
 RNG = np.random.default_rng(11)
 
@@ -74,3 +74,11 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     found = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs, 5, 14, 4, 44).collect()), key=str)
     assert found == sorted([(5, a), (5, b), (None, c), rows[7], (None, None)], key=str)
+
+
+def test_every_junk_label_is_listed(spark):
+    labels = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x"]
+    urls = [f"http://www.{x}.io/a" for x in labels] + ["http://plain.io/a", "http://not-adult-x.io/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.junk_list(pages)).collect()}
+    assert [found[k] for k in range(8)] == ["block"] * 6 + ["allow"] * 2
