@@ -164,8 +164,9 @@ query("agg_lesion_per_region", lambda s, d: aggregate.lesions(lesion_rows(s, d),
 
 def deep_mean(s: SparkSession, d: str) -> DataFrame:
     e = s.read.parquet(f"{d}/embeddings.parquet")
-    names = [f"deep_feature_{k}" for k in range(8)]
-    rows = e.select(F.col("label").alias("image_id"), F.lit("r").alias("roi"), F.lit(1).alias("volume"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"deep_feature_{k}" for k in range(64 if width is None else width)]
+    rows = e.select(F.col("label").alias("image_id"), F.lit("r").alias("roi"), F.lit(1).alias("volume"), *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
     return aggregate.lesions(rows, names, deep=names)
 
 
