@@ -1,9 +1,10 @@
 """What the first advice found missing: each test failed before."""
 
+import duckdb
 import numpy as np
 import pytest
 
-from voxlake.llm import simhash, url_filter
+from voxlake.llm import decontamination, oracles, simhash, url_filter
 
 RNG = np.random.default_rng(11)
 
@@ -82,3 +83,18 @@ def test_every_junk_label_is_listed(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     found = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.junk_list(pages)).collect()}
     assert [found[k] for k in range(8)] == ["block"] * 6 + ["allow"] * 2
+
+
+@pytest.mark.parametrize("block_words", [200_000, 5])
+def test_items_without_id_hit_as_in_sql(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block_words)
+    items = [(None, "alpha beta"), (None, "gamma delta"), (7, "beta gamma"), (8, None), (None, None)]
+    rows = [(1, "x alpha beta y"), (2, "alpha beta gamma delta"), (3, "beta gamma"), (4, "none of them"), (5, None)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, kind, values in (("benchmark", "item_id", items), ("documents", "doc_id", rows)):
+        con.execute(f"CREATE TABLE {name} ({kind} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    expected = sorted(con.execute(oracles.SQL["op3_decontamination"]).fetchall())
+    assert sorted(map(tuple, decontamination.report(docs, benchmark).collect())) == expected
+    assert sorted(r.doc_id for r in decontamination.keep_clean(docs, benchmark).collect()) == [4, 5]

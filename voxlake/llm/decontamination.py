@@ -9,8 +9,9 @@ words and from there to offsets in the original text.
 The benchmark is broadcast, so its size is checked: beyond `BLOCK_WORDS` words it is cut into blocks, each with an automaton
 of its own, and documents pass them one after another with the state kept in the shared folder between them.
 
-Null and empty texts have no words; null or wordless items have no windows and never count; repeated items and documents each
-count; item ids are compared as given. Empty tables give empty results. Only id and text columns are read.
+Null and empty texts have no words; items with a null text or no words have no windows and never count; repeated items and
+documents each count; item ids are compared as given. Items without an id hit like any other; all that hit a document count as
+one in n_items, and items_sha256 leaves them out. Empty tables give empty results. Only id and text columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def split(text: str | None) -> list[bytes]:
 class Automaton:
     """Windows of test items; built in each Python worker from the normalised items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         import ahocorasick
 
         vocabulary = sorted({w for _, words in items for w in words})
@@ -49,7 +50,7 @@ class Automaton:
         for n, w in enumerate(vocabulary):
             digits = [n >> 6 * k & 63 for k in range(self.size)]
             self.code[w] = chr(256 + digits[0]) + "".join(chr(512 + d) for d in digits[1:])
-        windows: dict[str, tuple[int, set[str]]] = {}
+        windows: dict[str, tuple[int, set[str | None]]] = {}
         for item, words in items:
             n = min(window, len(words))
             for k in range(len(words) - n + 1 if words else 0):
@@ -60,7 +61,7 @@ class Automaton:
         if windows:
             self.machine.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Word ranges [first, last) of all occurring windows, joined where they touch, and the items these are from."""
         if not self.code or not words:
             return [], set()
@@ -80,11 +81,11 @@ class Automaton:
         return spans, items
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
+def blocks(benchmark: DataFrame) -> list[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of at most BLOCK_WORDS words (a longer item has its own), read a partition at a time."""
     out: list[list] = [[]]
     size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     for r in rows.toLocalIterator():
         words = split(r.text)
         if size and size + len(words) > BLOCK_WORDS:
@@ -127,7 +128,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, with_text: bool = False)
                     counts.append(len(words))
                     firsts.append([x for x, _ in spans])
                     lasts.append([x for _, x in spans])
-                    items.append(sorted(ids.union(c)))
+                    items.append(sorted(ids.union(c), key=lambda x: (x is None, x or "")))
                 out = pd.DataFrame({"doc_id": pdf.doc_id, "n_words": counts, "firsts": firsts, "lasts": lasts, "items": items})
                 yield out.assign(text=pdf.text) if keep else out
 
