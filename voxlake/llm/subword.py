@@ -1,9 +1,9 @@
 """Operator 1: quality classifier on supervised subword embeddings.
 
-Words and character 3- to 5-grams (spaces mark word ends) hash into one table of learned vectors. A document is the mean of
-its vectors, a softmax layer turns the mean into class probabilities, and both are trained by numpy stochastic gradient
-descent. Since the output is linear in the mean, scoring needs one number per bucket: `Model.table` holds the difference of
-the class logits, 1 MB, which is all that is broadcast.
+Words, pairs of adjoining words, and character 3- and 4-grams (spaces mark word ends) hash into one table of learned vectors.
+A document is the mean of its vectors, a softmax layer turns the mean into class probabilities, and both are trained by numpy
+stochastic gradient descent. Since the output is linear in the mean, scoring needs one number per bucket: `Model.table` holds
+the difference of the class logits, 1 MB, which is all that is broadcast.
 
 Null and empty texts have no features and score the model's prior. Repeated rows score alike. An empty table gives an empty
 result; with no labelled rows every score is 0.5. Only doc_id and text are read, so other columns never clash.
