@@ -2,8 +2,9 @@
 
 The lattice of a text has an edge for every vocabulary piece at every place; a character without a piece gets one edge to its
 bytes. Since no piece reaches over the start of a word, the lattice is a chain of words; backward sums over the lattices of
-the distinct words of a batch are vectors over all words of one length. They turn edge scores into exact conditional
-probabilities, so a forward walk is an exact sample.
+the distinct words of a batch are vectors over all words of one size. They turn edge scores into exact conditional
+probabilities, so a forward walk is an exact sample. A word of over `LONG` characters (unspaced text) has its backward sums carried from block to block in logarithms, and the choices at
+all its places are made as vectors, a block at a time, before the walk follows them; a megabyte without a space takes seconds.
 
 k distinct segmentations of a whole text are drawn without replacement by a perturbed best-first search: a node is a prefix
 with all its continuations, its Gumbel-perturbed log-probability is that of its best leaf, known before the leaf is. Popping
@@ -33,13 +34,19 @@ from voxlake.llm.common import bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-SPACE, OWN_SPACE, END = 0x2581, 0x110000, 10
+SPACE, OWN_SPACE, STOP, END = 0x2581, 0x110000, 0x110001, 10
 #: Characters of text in one vector batch.
-BATCH = 1 << 19
-P = np.uint64(0x100000001B3)
-_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, P))])
-_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
-NONE = -1
+BATCH = 1 << 20
+P, PLACE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+#: Lattices are made for words of these sizes together, about so many cells at once; words beyond the last are on their own.
+SIZES = np.array([4, 6, 8, 10, 12, 16, 24, 48])
+LONG = int(SIZES[-1])
+CELLS = 1 << 20
+#: Places of a long word that share an offset, and that are looked at together.
+STRIDE, BLOCK = 64, 1 << 14
+_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 20, P))])
+_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 20, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
+NONE, PREFIX = -1, -2
 
 
 class Vocabulary:
@@ -48,16 +55,18 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
-        self.bytes = [b""] * n
+        raw = [b""] * n
         byte_id, plain = {}, []
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 byte_id[int(piece[1:-1], 16)] = i
-                self.bytes[i] = bytes([int(piece[1:-1], 16)])
+                raw[i] = bytes([int(piece[1:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 plain.append((i, piece))
-                self.bytes[i] = piece.replace("▁", " ").encode()
+                raw[i] = piece.replace("▁", " ").encode()
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.offset = np.cumsum([0] + [len(x) for x in raw])
         self.byte_id = [byte_id[b] for b in range(256)]
         rank = {i: r for r, (i, _) in enumerate(plain, 1)}
         total = sum(1 / (r + 1) for r in range(1, n + 1))
@@ -66,16 +75,19 @@ class Vocabulary:
         if any("▁" in p.lstrip("▁") or "\n" in p for _, p in plain):
             raise ValueError("a piece reaches over the start of a word")
         self.longest = max(len(p) for _, p in plain)
-        keys = []
+        self.chance = np.exp(self.score)
+        singles = {p for _, p in plain if len(p) == 1}
+        if any(c not in singles for _, p in plain for c in p):
+            raise ValueError("a character of a piece is no piece itself")
+        #: By the hash of every piece its id, and PREFIX for what only begins pieces.
+        known: dict[int, int] = {}
         for i, piece in plain:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in piece:
-                    h = h * P + np.uint64(ord(c) + 1)
-            keys.append((int(h), i))
-        keys.sort()
-        self.keys = np.array([k for k, _ in keys], np.uint64)
-        self.ids = np.array([i for _, i in keys], np.int32)
+            h = 0
+            for k, c in enumerate(piece, 1):
+                h = (h * int(P) + ord(c) + 1) & (1 << 64) - 1
+                known[h] = i if k == len(piece) else known.get(h, PREFIX)
+        self.keys = np.array(sorted(known), np.uint64)
+        self.ids = np.array([known[k] for k in self.keys.tolist()], np.int32)
         # Each slot names one key that falls there; keys that share a slot are looked up by bisection.
         slots = self.slot(self.keys)
         self.first = np.full(1 << 20, -1, np.int32)
@@ -87,7 +99,7 @@ class Vocabulary:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or NONE."""
+        """The piece with each hash, PREFIX if it only begins pieces, or NONE."""
         slot = self.slot(h)
         at = self.first[slot]
         out = np.where((at >= 0) & (self.keys[at] == h), self.ids[at], NONE)
@@ -106,111 +118,223 @@ def vocabulary(model: str) -> Vocabulary:
 def codes(text: str | None) -> np.ndarray:
     """Code points with a leading space; spaces as the space mark, the mark itself as a code beyond Unicode."""
     if not text:
-        return np.zeros(0, np.int64)
-    own = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(own == SPACE, OWN_SPACE, np.where(own == 32, SPACE, own))
+        return np.zeros(0, np.int32)
+    own = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    return np.where(own == SPACE, np.int32(OWN_SPACE), np.where(own == 32, np.int32(SPACE), own))
 
 
 def code_bytes(code: int) -> bytes:
     return chr(SPACE if code == OWN_SPACE else code).encode("utf-8", "surrogatepass")
 
 
+def salted(seed: np.ndarray, what: int) -> np.ndarray:
+    return seed + np.uint64((what * 0xD1342543DE82EF95) & (1 << 64) - 1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) from 64-bit numbers, which are overwritten."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(11)
+    return x * 2.0**-53 + 2.0**-54
+
+
 def noise(seed: np.ndarray, place: np.ndarray, what: int) -> np.ndarray:
     """Uniform numbers in (0, 1) from 64-bit seeds, places and a purpose."""
-    x = seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((what * 0xD1342543DE82EF95) & (1 << 64) - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+    return mixed(salted(seed, what) + place.astype(np.uint64) * PLACE)
+
+
+def edges(chars: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces at all places of words that each end with `STOP`: (place, number there, length, id), id NONE for a bare character.
+
+    All places grow at once, a character a step; a place is done with when no piece begins as it does."""
+    live, h = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.uint64)
+    count = np.zeros(len(chars), np.int8)
+    wide = np.concatenate([chars.astype(np.uint64) + np.uint64(1), np.zeros(v.longest, np.uint64)])
+    out = []
+    for k in range(v.longest):
+        h = h * P + wide[live + k]
+        entry = v.find(h)
+        if not k:
+            bare = np.flatnonzero((entry == NONE) & (chars != STOP))
+            count[bare] = 1
+            out.append((bare, np.zeros(len(bare), np.int8), np.ones(len(bare), np.int8), np.full(len(bare), NONE, np.int32)))
+        ok = np.flatnonzero(entry != NONE)
+        live, h, entry = live[ok], h[ok], entry[ok]
+        hit = np.flatnonzero(entry != PREFIX)
+        at = live[hit]
+        number = count[at]
+        count[at] = number + 1
+        out.append((at, number, np.full(len(hit), k + 1, np.int8), entry[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class Words:
-    """Lattices of words of up to `n` characters: cumulative probabilities of the length of the next piece at each place."""
+    """Lattices of words of up to n characters; words end at place n. Row place * words + word has the pieces there, by length:
+    cumulative probabilities, lengths and ids; lengths of 0 fill it up."""
 
     def __init__(self, text: np.ndarray, start: np.ndarray, length: np.ndarray, n: int, v: Vocabulary):
         m = len(start)
-        place = start[:, None] + length[:, None] - n + np.arange(n)
-        inside = np.arange(n) >= n - length[:, None]
-        grid = np.where(inside, text[np.where(inside, place, 0)], -1)
-        width = min(n, v.longest)
-        self.ids = np.full((n, width, m), NONE, np.int32)
-        # Short words multiply probabilities; in long ones they would underflow, so their logarithms are added.
-        short = n <= 24
-        score = np.zeros((n, width, m)) if short else np.full((n, width, m), -np.inf)
-        value = np.exp if short else np.asarray
-        piece_score = value(v.score)
-        one = grid.T.astype(np.uint64) + np.uint64(1)
-        for i in range(n):
-            live = np.flatnonzero(inside[:, i])
-            h = np.zeros(len(live), np.uint64)
-            for k in range(min(width, n - i)):
-                h = h * P + one[i + k, live]
-                found = v.find(h)
-                hit = np.flatnonzero(found != NONE)
-                self.ids[i, k, live[hit]] = found[hit]
-                score[i, k, live[hit]] = piece_score[found[hit]]
-            bare = live[self.ids[i, 0, live] == NONE]
-            if len(bare):
-                c = grid[bare, i]
-                n_bytes = 1 + (c >= 128) + (c >= 0x800) + ((c >= 0x10000) & (c != OWN_SPACE))
-                score[i, 0, bare] = value(v.byte_score * n_bytes)
-        cumulative = np.empty((n, width, m))
-        beta = np.zeros((n + width + 1, m)) if short else np.full((n + width + 1, m), -np.inf)
-        beta[n] = 1 if short else 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for i in range(n - 1, -1, -1):
-                reach = min(width, n - i)
-                each = beta[i + 1 : i + 1 + reach]
-                if short:
-                    mass = score[i, :reach] * each
-                    running = np.cumsum(mass, axis=0)
-                    beta[i] = running[-1]
-                else:
-                    each = score[i, :reach] + each
-                    top = each.max(axis=0)
-                    top = np.where(np.isfinite(top), top, 0)
-                    running = np.cumsum(np.exp(each - top), axis=0)
-                    beta[i] = np.where(inside[:, i], top + np.log(running[-1]), -np.inf)
-                cumulative[i, :reach] = running / running[-1]
-                cumulative[i, reach:] = 1
-        # One row of lengths for each (word, place): a step of a walk reads it as a whole.
-        self.cumulative = np.ascontiguousarray(cumulative.transpose(2, 0, 1)).reshape(m * n, width)
-        self.ids = np.ascontiguousarray(self.ids.transpose(2, 0, 1)).reshape(m * n, width)
-        self.n, self.length = n, length
+        self.n, self.m = n, m
+        word = np.repeat(np.arange(m), length + 1)
+        first = np.cumsum(length + 1) - (length + 1)
+        step = np.arange(len(word)) - first[word]
+        place, number, size, found = edges(np.where(step < length[word], text[np.minimum(start[word] + step, len(text) - 1)], STOP), v)
+        row = ((n - length[word] + step) * m + word)[place]
+        width = int(number.max()) + 1
+        self.ids, self.sizes, mass = np.full((m * n, width), NONE, np.int32), np.zeros((m * n, width), np.int8), np.zeros((m * n, width))
+        self.ids[row, number], self.sizes[row, number] = found, size
+        # Every path takes a bare character by itself, so its score cancels out and counts as 1: no word of this size underflows.
+        mass[row, number] = np.where(found == NONE, 1.0, v.chance[found])
+        beta = np.zeros(m * (n + 1))
+        beta[n * m :] = 1
+        for i in range(n - 1, -1, -1):
+            a, b = i * m, i * m + m
+            mass[a:b] *= beta[np.arange(a, b)[:, None] + self.sizes[a:b] * np.int64(m)]
+            np.einsum("mw->m", mass[a:b], out=beta[a:b])
+        np.cumsum(mass, axis=1, out=mass)
+        mass /= np.where(mass[:, -1:] > 0, mass[:, -1:], 1)
+        self.cumulative = mass
+
+
+def byte_count(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 128) + (codes >= 0x800) + ((codes >= 0x10000) & (codes != OWN_SPACE))
+
+
+class LongWord:
+    """The lattice of one long word. Backward sums are kept as logarithms, `STRIDE` places and the `longest` after them a row,
+    each row less its own offset, so that differences keep their precision however long the word is."""
+
+    def __init__(self, codes: np.ndarray, v: Vocabulary):
+        self.codes, self.v = codes, v
+        n, w = len(codes), v.longest
+        strides = -(-n // STRIDE)
+        self.lead = strides * STRIDE - n
+        self.beta = np.full((strides, STRIDE + w), -np.inf)
+        after = np.full(w, -np.inf)
+        after[0] = 0
+        t = np.empty(w)
+        for c in range(strides - 1, -1, -1):
+            first = c * STRIDE - self.lead
+            if c == strides - 1 or first + STRIDE == low:
+                low = max(0, first + STRIDE - BLOCK)
+                score = self.scores(low, first + STRIDE)[0]
+            local = self.beta[c]
+            local[STRIDE:] = after
+            for j in range(STRIDE - 1, max(-first, 0) - 1, -1):
+                np.add(score[first + j - low], local[j + 1 : j + 1 + w], out=t)
+                top = t.max()
+                np.subtract(t, top, out=t)
+                np.exp(t, out=t)
+                local[j] = top + np.log(t.sum())
+            after = local[:w] - local[max(-first, 0)]
+
+    def scores(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log-scores and ids of the pieces of each length at places a to b."""
+        w, n = self.v.longest, len(self.codes)
+        ids, score = np.full((b - a, w), NONE, np.int32), np.full((b - a, w), -np.inf)
+        one = self.codes[a : b + w].astype(np.uint64) + np.uint64(1)
+        h = np.zeros(b - a, np.uint64)
+        for k in range(w):
+            h = h[: min(b, n - k) - a]
+            if not len(h):
+                break
+            h = h * P + one[k : k + len(h)]
+            found = self.v.find(h)
+            hit = np.flatnonzero(found >= 0)
+            ids[hit, k], score[hit, k] = found[hit], self.v.score[found[hit]]
+        bare = np.flatnonzero(ids[:, 0] == NONE)
+        score[bare, 0] = self.v.byte_score * byte_count(self.codes[a + bare])
+        return score, ids
+
+    def rows(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative probabilities and ids of the pieces of each length at places a to b."""
+        score, ids = self.scores(a, b)
+        c, j = np.divmod(np.arange(a, b) + self.lead, STRIDE)
+        p = np.exp(score + self.beta[c[:, None], j[:, None] + 1 + np.arange(self.v.longest)] - self.beta[c, j][:, None])
+        running = np.cumsum(p, axis=1)
+        return running / running[:, -1:], ids
+
+    def path(self, seed: np.ndarray, shift: int, number: int, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The walk from a place to the end: (places, lengths, probabilities, ids); `shift` is the word's place in its text."""
+        at, out = place, []
+        while at < len(self.codes):
+            a, b = at, min(at + BLOCK, len(self.codes))
+            cum, ids = self.rows(a, b)
+            pick = picked(cum, noise(seed, np.arange(a, b) + shift, number))
+            step, seen = (pick + 1).tolist(), []
+            while at < b:
+                seen.append(at)
+                at += step[at - a]
+            seen = np.array(seen, np.int64)
+            rows = seen - a
+            out.append((seen, pick[rows] + 1, chance_of(cum[rows], pick[rows]), ids[rows, pick[rows]]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0), np.zeros(0, np.int32))
+
+
+def picked(cum: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.minimum((cum <= r[:, None]).sum(axis=1), cum.shape[1] - 1)
+
+
+def chance_of(cum: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    flat = np.arange(len(pick)) * cum.shape[1] + pick
+    cum = cum.ravel()
+    return cum[flat] - np.where(pick > 0, cum[np.maximum(flat - 1, 0)], 0)
 
 
 class Batch:
-    """Texts of a batch as one array of codes, its words, and the lattices of the distinct words."""
+    """Texts of a batch as one array of codes, its words, and their lattices."""
 
     def __init__(self, texts: list[str | None], v: Vocabulary):
         self.v = v
         each = [codes(t) for t in texts]
         self.bounds = np.cumsum([0] + [len(c) for c in each])
-        self.text = np.concatenate([*each, np.zeros(0, np.int64)])
+        self.text = np.concatenate([*each, np.zeros(0, np.int32)])
         n = len(self.text)
         begins = np.zeros(n + 1, bool)
         if n:
             mark = self.text == SPACE
             begins[1:n] = (mark[1:] & ~mark[:-1]) | (self.text[:-1] == END)
         begins[self.bounds] = True
-        self.start = np.flatnonzero(begins)[:-1] if n else np.zeros(0, np.int64)
-        stop = np.flatnonzero(begins)[1:] if n else np.zeros(0, np.int64)
+        edges = np.flatnonzero(begins)
+        self.start = edges[:-1] if n else np.zeros(0, np.int64)
+        stop = edges[1:] if n else np.zeros(0, np.int64)
         self.length = stop - self.start
+        self.doc = np.searchsorted(self.bounds, self.start, side="right") - 1
         powers, inverse = (t[: n + 1] if n < len(t) else np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, t[1]))]) for t in (_POWERS, _INVERSE))
         sums = np.concatenate([[np.uint64(0)], np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * powers[:n])])
-        h = (sums[stop] - sums[self.start]) * inverse[self.start] * np.uint64(0x9E3779B97F4A7C15) + self.length.astype(np.uint64)
-        _, first, self.kind = np.unique(h, return_index=True, return_inverse=True)
-        size = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(1, self.length[first]))).astype(int))
-        size = np.where((size > 4) & (self.length[first] <= size * 3 // 4), size * 3 // 4, size)
-        self.group = np.zeros(len(first), np.int64)
-        self.row = np.zeros(len(first), np.int64)
-        self.groups: list[Words] = []
-        for s in np.unique(size):
-            mine = np.flatnonzero(size == s)
-            most = max(1, (1 << 20) // int(s * min(s, v.longest)))
+        short = np.flatnonzero(self.length <= LONG)
+        h = (sums[stop[short]] - sums[self.start[short]]) * inverse[self.start[short]] * np.uint64(0x9E3779B97F4A7C15) + self.length[short].astype(np.uint64)
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([np.ones(min(1, len(h)), bool), h[order[1:]] != h[order[:-1]]])
+        first, kind = order[new], np.empty(len(h), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        start, length = self.start[short[first]], self.length[short[first]]
+        size = np.searchsorted(SIZES, length)
+        shelf, row = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        self.shelves: list[Words] = []
+        for g in np.unique(size).tolist():
+            mine, n = np.flatnonzero(size == g), int(SIZES[g])
+            most = max(1, CELLS // (n * min(n, 8)))
             for a in range(0, len(mine), most):
                 part = mine[a : a + most]
-                self.group[part], self.row[part] = len(self.groups), np.arange(len(part))
-                self.groups.append(Words(self.text, self.start[first[part]], self.length[first[part]], int(s), v))
+                shelf[part], row[part] = len(self.shelves), np.arange(len(part))
+                self.shelves.append(Words(self.text, start[part], length[part], n, v))
+        #: Of each word its shelf (-1: long) and row.
+        self.shelf, self.row = np.full(len(self.start), -1), np.zeros(len(self.start), np.int64)
+        self.shelf[short], self.row[short] = shelf[kind], row[kind]
+        #: Words in order of their lattices, so that these are read one after another.
+        self.order = np.concatenate([short[order], np.flatnonzero(self.length > LONG)])
+        self.long: dict[int, LongWord] = {}
+
+    def long_word(self, k: int) -> LongWord:
+        if k not in self.long:
+            self.long[k] = LongWord(self.text[self.start[k] : self.start[k] + self.length[k]], self.v)
+        return self.long[k]
 
     def walk(self, seed: np.ndarray, number: int, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An exact sample of every text, or of its words that start at or beyond a character of the batch.
@@ -219,34 +343,67 @@ class Batch:
         taken = np.zeros(len(self.text), np.int8)
         chance = np.ones(len(self.text))
         ids = np.full(len(self.text), NONE, np.int32)
-        doc = np.searchsorted(self.bounds, self.start, side="right") - 1
-        wanted = np.ones(len(self.start), bool) if after is None else self.start >= after[doc]
-        group = np.where(wanted, self.group[self.kind], -1)
-        for g, w in enumerate(self.groups):
-            live = np.flatnonzero(group == g)
-            at = self.start[live].copy()
-            place = w.n - self.length[live]
-            base = self.row[self.kind[live]] * w.n
-            salt, first = seed[doc[live]], self.bounds[doc[live]]
-            while len(live):
-                cum = w.cumulative[base + place]
-                r = noise(salt, at - first, number)
-                pick = np.minimum((cum <= r[:, None]).sum(axis=1), cum.shape[1] - 1)
-                flat = np.arange(len(live)) * cum.shape[1] + pick
-                cum = cum.ravel()
-                taken[at] = pick + 1
-                chance[at] = cum[flat] - np.where(pick > 0, cum[np.maximum(flat - 1, 0)], 0)
-                ids[at] = w.ids[base + place, pick]
-                place, at = place + pick + 1, at + pick + 1
-                more = place < w.n
-                live, base, place, at, salt, first = live[more], base[more], place[more], at[more], salt[more], first[more]
+        wanted = np.ones(len(self.start), bool) if after is None else self.start >= after[self.doc]
+        shelf = np.where(wanted, self.shelf, -2)[self.order]
+        salts = salted(seed, number) - self.bounds[:-1].astype(np.uint64) * PLACE
+        for g, w in enumerate(self.shelves):
+            live = self.order[shelf == g]
+            at = self.start[live]
+            row = (w.n - self.length[live]) * w.m + self.row[live]
+            salt = salts[self.doc[live]]
+            while len(at):
+                pick = picked(w.cumulative[row], mixed(salt + at.astype(np.uint64) * PLACE))
+                cum, cell = w.cumulative.ravel(), row * w.ids.shape[1] + pick
+                step = w.sizes.ravel()[cell].astype(np.int64)
+                taken[at] = step
+                chance[at] = cum[cell] - np.where(pick > 0, cum[np.maximum(cell - 1, 0)], 0)
+                ids[at] = w.ids.ravel()[cell]
+                row, at = row + step * w.m, at + step
+                more = np.flatnonzero(row < w.n * w.m)
+                row, at, salt = row[more], at[more], salt[more]
+        for k in self.order[shelf == -1].tolist():
+            a, d = int(self.start[k]), int(self.doc[k])
+            places, lengths, p, found = self.long_word(k).path(seed[d : d + 1], a - int(self.bounds[d]), number, 0)
+            taken[a + places], chance[a + places], ids[a + places] = lengths, p, found
         return taken, chance, ids
 
-    def word_at(self, character: int) -> tuple[Words, int, int, int]:
-        """Of the word that holds a character: its lattice, its first row there, its place, and the character after the word."""
-        k = int(np.searchsorted(self.start, character, side="right") - 1)
-        w = self.groups[self.group[self.kind[k]]]
-        return w, int(self.row[self.kind[k]]) * w.n, w.n - int(self.length[k]) + character - int(self.start[k]), int(self.start[k] + self.length[k])
+    def word_at(self, character: int) -> int:
+        return int(np.searchsorted(self.start, character, side="right") - 1)
+
+    def branch(self, a: int, character: int, seed: np.ndarray, number: int, used: dict[int, float]) -> tuple[list, int]:
+        """A walk from a character of the text that begins at `a` to the end of its word, the first length none of those used.
+
+        The parts of a path (places, lengths, log-probabilities, ids), and the place after the word."""
+        k = self.word_at(a + character)
+        stop = int(self.start[k] + self.length[k]) - a
+        long = self.long_word(k) if self.shelf[k] < 0 else None
+        shift = int(self.start[k]) - a
+        if long is None:
+            w = self.shelves[self.shelf[k]]
+            rows = (np.arange(character, stop) - stop + w.n) * w.m + int(self.row[k])
+            cum, ids, sizes = w.cumulative[rows], w.ids[rows], w.sizes[rows].tolist()
+        else:
+            cum, ids = long.rows(character - shift, character - shift + 1)
+            sizes = [range(1, cum.shape[1] + 1)]
+        p = shares(cum[0])
+        whole = p.copy()
+        p[[i for i, n in enumerate(sizes[0]) if n in used]] = 0
+        steps, at = [], character
+        while True:
+            r = float(noise(seed, np.array([at]), number)[0])
+            running = np.cumsum(p)
+            pick = min(int((running <= r * running[-1]).sum()), len(p) - 1)
+            step = sizes[at - character][pick]
+            steps.append((at, step, float(np.log(whole[pick])), int(ids[at - character, pick])))
+            at += step
+            if at >= stop or long is not None:
+                break
+            p = whole = shares(cum[at - character])
+        parts = [np.array(x) for x in zip(*steps, strict=True)]
+        if long is not None:
+            places, lengths, chance, found = long.path(seed, shift, number, at - shift)
+            parts = [np.concatenate([x, y]) for x, y in zip(parts, (places + shift, lengths, np.log(chance), found), strict=True)]
+        return parts, stop
 
 
 def truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -280,7 +437,8 @@ class Search:
         self.next = (values, path, first, gone, s) if np.isfinite(self.threshold) else None
 
     def word_end(self) -> int:
-        return self.batch.word_at(self.a + int(self.next[1][0][self.next[4]]))[3]
+        k = self.batch.word_at(self.a + int(self.next[1][0][self.next[4]]))
+        return int(self.batch.start[k] + self.batch.length[k])
 
     def grow(self, walk: tuple) -> None:
         """Walks down from the node that `pop` chose; the words after the branching word come from a fresh walk."""
@@ -288,25 +446,9 @@ class Search:
         number, value = len(self.found), self.threshold
         values[s - first] = -np.inf
         used = {**(gone if s == first else {}), int(path[1][s]): float(np.exp(path[2][s]))}
-        character = int(path[0][s])
-        w, base, place, stop = self.batch.word_at(self.a + character)
-        p = shares(w.cumulative[base + place])
-        whole = p.copy()
-        for n in used:
-            p[n - 1] = 0
-        steps = []
-        while True:
-            r = float(noise(self.seed, np.array([character]), 3000 + number)[0])
-            running = np.cumsum(p)
-            pick = min(int((running <= r * running[-1]).sum()), len(p) - 1)
-            steps.append((character, pick + 1, float(np.log(whole[pick])), int(w.ids[base + place, pick])))
-            place, character = place + pick + 1, character + pick + 1
-            if self.a + character >= stop:
-                break
-            p = whole = shares(w.cumulative[base + place])
+        mine, stop = self.batch.branch(self.a, int(path[0][s]), self.seed, 3000 + number, used)
         taken, chance, ids = walk
-        tail = np.flatnonzero(taken[character:]) + character
-        mine = [np.array(x) for x in zip(*steps, strict=True)]
+        tail = np.flatnonzero(taken[stop:]) + stop
         fresh = (tail, taken[tail], np.log(chance[tail]), ids[tail])
         path = tuple(np.concatenate([old[:s], new, last]) for old, new, last in zip(path, mine, fresh, strict=True))
         self.found.append((float(path[2].sum()), value, path))
@@ -388,7 +530,10 @@ def expanded(batch: Batch, a: int, path: tuple) -> np.ndarray:
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of a segmentation."""
-    return b"".join(map(v.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+    size = v.offset[ids + 1] - v.offset[ids]
+    stop = np.cumsum(size)
+    at = np.repeat(v.offset[ids] - (stop - size), size) + np.arange(int(size.sum()))
+    return v.flat[at].tobytes()[1:].decode("utf-8", "surrogatepass")
 
 
 def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int], list[str | None]]]:
