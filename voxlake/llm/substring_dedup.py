@@ -5,14 +5,18 @@ smaller doc_id. Searching every document in the index of every shard would grow
 routed: each has an anchor, the run of 10 words in it with the least hash, which is the same for equal windows. Neighbouring
 windows with one anchor form a segment, and all windows of an anchor meet in one shard.
 
-1. Anchors that only one document has cannot repeat. Those of several documents make a Bloom filter of fixed size.
+1. Anchors that only one document has cannot repeat. Those of several documents make a Bloom filter sized by their number.
 2. Documents pass the filter and leave the segments of possibly shared anchors, without text. Equal segments are combined
    before the shuffle: copies of a segment, however many, cost one row a task.
-3. An anchor with one distinct segment needs no search. The others' distinct segments are fetched, with their words, in one
-   more pass (again behind a Bloom filter), and each shard builds an FM-index of its segments and streams them through it:
-   backward search gives every window's interval, and the least doc_id in it.
-4. An anchor with more than `MOST` distinct segments (a very common line in ever different surroundings) would make its shard
-   large; its windows are hashed, 128 bits each, and dealt out by that hash, with minima combined before the shuffle.
+3. An anchor with one distinct segment needs no search: all its windows start in the least document that has the segment. The
+   others' distinct segments are fetched, with their words, in one more pass (again behind a Bloom filter).
+4. Each shard builds an FM-index of the segments of its anchors and streams them through it: backward search gives every
+   window's interval, and the least doc_id in it.
+5. An anchor with more than `SPLIT` distinct segments (a very common line in ever different surroundings) is too much for one
+   shard. Its windows are parted by how many words stand before the anchor, in halves; the windows of a half have more words in
+   common than the anchor, and this longer run deals them out anew, equal pieces combined. Runs that are still too common are
+   halved again, six times at most: a run of 50 words is a window, and all its pieces are equal. A segment leaves a few pieces
+   a halving, not a row a window, and every piece is answered by the same search; the answers are put together on the way back.
 
 The registered query drops words by the windows so found. Null texts have no words; a null doc_id is neither smaller nor
 larger than another, so such rows neither lose words nor make others lose some; rows that repeat a doc_id are each judged, and
@@ -31,15 +35,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voxlake.llm.common import bounded, by_size, stored, text_bytes
+from voxlake.llm.common import bounded, by_size, lean, stored, text_bytes
 from voxlake.llm.fm_index import FmIndex
 
 WINDOW, ANCHOR = 50, 10
-#: Distinct segments of one anchor up to which its shard searches them.
-MOST = 256
+#: Distinct segments of one run of words above which they are dealt out by longer runs.
+SPLIT = 256
 #: Words in the segments of a shard, about.
 SHARD_WORDS = 150_000
-BLOCKS, LANES = 1 << 16, 8
+#: Lanes of 32 bits in a block of a Bloom filter, keys a block, and the most blocks that are broadcast (32 MB). Beyond, there is
+#: no filter, and the joins that follow it see all rows.
+LANES, KEYS_A_BLOCK, MOST_BLOCKS = 8, 16, 1 << 20
 Q1, Q2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 BYTE = np.uint64(0x100000001B3)
 
@@ -96,10 +102,10 @@ def span_hash(sums: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments of the texts: text number, first window, number of windows, anchor and two hashes of all its words."""
+    """Segments of the texts: text number, first window, number of windows, words before the anchor, anchor, two hashes of all words."""
     h, bounds = word_hashes(texts)
     n = len(h)
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "anchor", "s1", "s2")}
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "at", "anchor", "s1", "s2")}
     if n < WINDOW:
         return empty
     sums1, sums2 = spans(h, Q1), spans(h, Q2)
@@ -127,7 +133,7 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     count = follow - first
     stop = follow + WINDOW - 1
     return {
-        "text": text[first], "start": first - bounds[text[first]], "n": count, "anchor": gram[place[first]].view(np.int64),
+        "text": text[first], "start": first - bounds[text[first]], "n": count, "at": place[first] - first, "anchor": gram[place[first]].view(np.int64),
         "s1": span_hash(sums1, first, stop).view(np.int64), "s2": mix(span_hash(sums2, first, stop) + (place[first] - first).astype(np.uint64)).view(np.int64),
     }
 
@@ -138,25 +144,32 @@ def text_key(data: bytes) -> int:
 
 # --- Bloom filters: built by Spark, probed in numpy -----------------------------------------------------------------------
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """Lanes of a blocked Bloom filter over a column of uniform 64-bit hashes; BLOCKS rows at most reach the driver."""
+def bloom(keys: DataFrame, column: str) -> np.ndarray | None:
+    """Lanes of a blocked Bloom filter over a column of uniform 64-bit hashes, None where there are too many keys for one.
+
+    The number of blocks follows the number of keys; MOST_BLOCKS rows at most reach the driver."""
+    n = keys.count()
+    if n > MOST_BLOCKS * KEYS_A_BLOCK:
+        return None
+    blocks = 1 << max(8, int(n // KEYS_A_BLOCK).bit_length())
     c = F.col(column)
     rows = (
-        keys.select(c.bitwiseAND(BLOCKS - 1).cast("int").alias("block"), *[F.shiftrightunsigned(c, 16 + 5 * i).bitwiseAND(31).cast("int").alias(f"b{i}") for i in range(LANES)])
+        keys.select(c.bitwiseAND(blocks - 1).cast("int").alias("block"), *[F.shiftrightunsigned(c, 22 + 5 * i).bitwiseAND(31).cast("int").alias(f"b{i}") for i in range(LANES)])
         .groupBy("block").agg(*[F.bit_or(F.expr(f"shiftleft(1, b{i})")).alias(f"l{i}") for i in range(LANES)])
-    ).collect()
-    lanes = np.zeros((BLOCKS, LANES), np.int32)
-    for r in rows:
-        lanes[r[0]] = r[1:]
+    ).toPandas()
+    lanes = np.zeros((blocks, LANES), np.int32)
+    lanes[rows.block.to_numpy()] = rows[[f"l{i}" for i in range(LANES)]].to_numpy(np.int32)
     return lanes
 
 
-def maybe(lanes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    u = keys.view(np.uint64)
-    block = (u & np.uint64(BLOCKS - 1)).astype(np.int64)
+def maybe(lanes: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
+    if lanes is None:
+        return out
+    u = keys.view(np.uint64)
+    block = (u & np.uint64(len(lanes) - 1)).astype(np.int64)
     for i in range(LANES):
-        bit = (u >> np.uint64(16 + 5 * i) & np.uint64(31)).astype(np.int32)
+        bit = (u >> np.uint64(22 + 5 * i) & np.uint64(31)).astype(np.int32)
         out &= (lanes[block, i] >> bit & 1) == 1
     return out
 
@@ -178,6 +191,7 @@ def each(pdf: pd.DataFrame, most: int = 1 << 18) -> Iterator[tuple[list[bytes],
 def shared_anchors(docs: DataFrame) -> DataFrame:
     """(anchor): those that documents of different ids have."""
 
+    @lean
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for texts, ids in each(pdf):
@@ -188,10 +202,12 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
 
 
-def shared_segments(docs: DataFrame, lanes: np.ndarray) -> DataFrame:
-    """(anchor, s1, s2, n, doc_id, text_key, start) of the segments whose anchor may be shared."""
+def shared_segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(anchor, s1, s2, n, at, doc_id, text_key, start) of the segments whose anchor may be shared."""
+    lanes = bloom(shared, "anchor")
     filter_ = docs.sparkSession.sparkContext.broadcast(lanes)
 
+    @lean
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for texts, ids in each(pdf):
@@ -201,15 +217,17 @@ def shared_segments(docs: DataFrame, lanes: np.ndarray) -> DataFrame:
                 keys = np.zeros(len(texts), np.int64)
                 for k in np.unique(s["text"]):
                     keys[k] = text_key(texts[k])
-                yield pd.DataFrame({"anchor": s["anchor"], "s1": s["s1"], "s2": s["s2"], "n": s["n"].astype(np.int32), "doc_id": ids[s["text"]], "text_key": keys[s["text"]], "start": s["start"]})
+                yield pd.DataFrame({"anchor": s["anchor"], "s1": s["s1"], "s2": s["s2"], "n": s["n"].astype(np.int32), "at": s["at"].astype(np.int32), "doc_id": ids[s["text"]], "text_key": keys[s["text"]], "start": s["start"]})
 
-    return docs.select("doc_id", "text").mapInPandas(found, "anchor long, s1 long, s2 long, n int, doc_id long, text_key long, start long")
+    out = docs.select("doc_id", "text").mapInPandas(found, "anchor long, s1 long, s2 long, n int, at int, doc_id long, text_key long, start long")
+    return out if lanes is not None else out.join(shared, "anchor", "left_semi")
 
 
-def fetched(docs: DataFrame, lanes: np.ndarray) -> DataFrame:
+def fetched(docs: DataFrame, lanes: np.ndarray | None) -> DataFrame:
     """(anchor, s1, s2, doc_id, start, words) of the places that may be wanted."""
     filter_ = docs.sparkSession.sparkContext.broadcast(lanes)
 
+    @lean
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for texts, ids in each(pdf):
@@ -227,7 +245,7 @@ def fetched(docs: DataFrame, lanes: np.ndarray) -> DataFrame:
 
 
 def searched(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: (anchor, s1, s2, least), the least doc_id of each window of each segment, from the shard's FM-index."""
+    """One shard: (key, s1, s2, least), the least doc_id of each window of each piece, from the shard's FM-index."""
     parts = [bytes(w).split() for w in pdf.words]
     sizes = np.array([len(p) for p in parts], np.int64)
     number: dict[bytes, int] = {}
@@ -237,84 +255,109 @@ def searched(pdf: pd.DataFrame) -> pd.DataFrame:
         flat[a : a + len(p)] = [number.setdefault(w, len(number) + 1) for w in p]
     weight = np.repeat(pdf.lo.to_numpy(np.int64), sizes + 1)
     least, offset = FmIndex(flat, weight, WINDOW).window_minima(flat, first, sizes - WINDOW + 1)
-    return pd.DataFrame({"anchor": pdf.anchor, "s1": pdf.s1, "s2": pdf.s2, "least": [least[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]})
+    return pd.DataFrame({"key": pdf["key"], "s1": pdf.s1, "s2": pdf.s2, "least": [least[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]})
 
 
-def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(w1, w2, anchor, s1, s2, place, lo): a row for each window of each segment."""
-    for pdf in batches:
-        for a in range(0, len(pdf), 500):
-            part = pdf.iloc[a : a + 500]
-            h, bounds = word_hashes([bytes(w) for w in part.words])
-            n = np.diff(bounds) - WINDOW + 1
-            of = np.repeat(np.arange(len(part)), n)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            at = bounds[of] + place
-            yield pd.DataFrame({
-                "w1": span_hash(spans(h, Q1), at, at + WINDOW).view(np.int64), "w2": span_hash(spans(h, Q2), at, at + WINDOW).view(np.int64),
-                **{c: part[c].to_numpy()[of] for c in ("anchor", "s1", "s2", "lo")}, "place": place.astype(np.int32),
-            })
+def halves(level: int) -> np.ndarray:
+    """Bounds of the ranges of words before the anchor after so many halvings; from six on, a range has one number at most."""
+    reach = WINDOW - ANCHOR + 1
+    return np.unique([reach * c >> level for c in range((1 << level) + 1)])
+
+
+def split(level: int) -> Callable:
+    """Pieces of pieces: (key, s1, s2, n, at, lo, words) of the part with so many words before the anchor, and whose they are:
+    (of_key, of_s1, of_s2, from, a window there). The key is the hash of the run that all windows of the whole part have."""
+    bounds = halves(level)
+
+    @lean
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in range(0, len(pdf), 500):
+                part = pdf.iloc[x : x + 500]
+                words = [bytes(w).split() for w in part.words]
+                h, first = word_hashes([bytes(w) for w in part.words])
+                n, at = part.n.to_numpy(np.int64), part["at"].to_numpy(np.int64)
+                low = np.searchsorted(bounds, at - n + 1, side="right") - 1
+                high = np.searchsorted(bounds, at, side="right") - 1
+                of = np.repeat(np.arange(len(part)), high - low + 1)
+                c = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+                # Windows a to b - 1 of the piece have bounds[c] to bounds[c + 1] - 1 words before the anchor.
+                a, b = np.maximum(at[of] - bounds[c + 1] + 1, 0), np.minimum(at[of] - bounds[c] + 1, n[of])
+                sums1, sums2 = spans(h, Q1), spans(h, Q2)
+                anchor = first[of] + at[of]
+                run = span_hash(sums1, anchor - bounds[c], anchor - bounds[c + 1] + 1 + WINDOW)
+                begin, end = first[of] + a, first[of] + b + WINDOW - 1
+                own = part["key"].to_numpy(np.int64).view(np.uint64)[of]
+                yield pd.DataFrame({
+                    "key": mix(run + own * np.uint64(Q1) + c.astype(np.uint64)).view(np.int64), "s1": span_hash(sums1, begin, end).view(np.int64),
+                    "s2": mix(span_hash(sums2, begin, end) + (at[of] - a).astype(np.uint64)).view(np.int64), "n": (b - a).astype(np.int32), "at": (at[of] - a).astype(np.int32),
+                    "lo": part.lo.to_numpy(np.int64)[of], "words": [b" ".join(words[k][i:j]) for k, i, j in zip(of.tolist(), a.tolist(), (b + WINDOW - 1).tolist(), strict=True)],
+                    **{f"of_{k}": part[k].to_numpy(np.int64)[of] for k in ("key", "s1", "s2")}, "from": a.astype(np.int32),
+                })
+
+    return parted
+
+
+PIECE, SPLITS = ["key", "s1", "s2"], "key long, s1 long, s2 long, n int, at int, lo long, words binary, of_key long, of_s1 long, of_s2 long, from int"
+
+
+def minima(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """(key, s1, s2, least): the least doc_id of each window of each of the distinct pieces (key, s1, s2, n, at, lo, words).
+
+    Windows of pieces with different keys are never equal. `level` is the number of halvings so far."""
+    sizes = stored(pieces.groupBy("key").agg(F.count("*").alias("pieces"), F.sum(F.length("words")).alias("bytes")), "sizes")
+    told = sizes.agg(F.max("pieces"), F.sum(F.when(F.col("pieces").between(2, SPLIT), F.col("bytes")))).first()
+    pieces = pieces.join(sizes.select("key", "pieces"), "key")
+    shards = int((told[1] or 0) / 6 / SHARD_WORDS) + 1
+    by_index = (
+        pieces.where(F.col("pieces").between(2, SPLIT)).select(*PIECE, "lo", "words")
+        .groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: searched(pdf), "key long, s1 long, s2 long, least array<long>")
+    )
+    alone = pieces.where("pieces = 1").select(*PIECE, F.expr("array_repeat(lo, n)").alias("least"))
+    out = stored(by_index.unionByName(alone), "minima")
+    if (told[0] or 0) <= SPLIT:
+        return out
+    parted = stored(pieces.where(F.col("pieces") > SPLIT).select(*PIECE, "n", "at", "lo", "words").mapInPandas(split(level + 1), SPLITS), "parted")
+    distinct = parted.groupBy(*PIECE).agg(F.min("lo").alias("lo"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("words").alias("words"))
+    inner = minima(stored(distinct, "pieces"), level + 1)
+    whole = (
+        parted.select(*PIECE, "of_key", "of_s1", "of_s2", "from").join(inner, PIECE)
+        .groupBy("of_key", "of_s1", "of_s2").agg(F.sort_array(F.collect_list(F.struct("from", "least"))).alias("parts"))
+        .select(F.col("of_key").alias("key"), F.col("of_s1").alias("s1"), F.col("of_s2").alias("s2"), F.flatten("parts.least").alias("least"))
+    )
+    return out.unionByName(stored(whole, "minima"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, ranges): per document the ranges [first, last) of windows that start in a smaller document too."""
     bounded(docs.sparkSession)
     shared = stored(shared_anchors(docs), "anchors")
-    segs = stored(shared_segments(docs, bloom(shared, "anchor")), "segments")
+    segs = stored(shared_segments(docs, shared), "segments")
     distinct = segs.groupBy("anchor", "s1", "s2").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi"), F.first("n").alias("n")
+        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi"), F.first("n").alias("n"), F.first("at").alias("at")
     )
-    distinct = stored(distinct.select("anchor", "s1", "s2", "n", F.col("first.doc_id").alias("lo"), F.col("first.start").alias("start"), "hi"), "distinct")
+    distinct = stored(distinct.select("anchor", "s1", "s2", "n", "at", F.col("first.doc_id").alias("lo"), F.col("first.start").alias("start"), "hi"), "distinct")
     kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most"), "kinds")
-    several = distinct.join(kinds.where("segs > 1").select("anchor", "segs"), "anchor")
+    several = stored(distinct.join(kinds.where("segs > 1").select("anchor"), "anchor").select("anchor", "s1", "s2", "n", "at", "lo", "start"), "several")
 
     keyed = several.select("s1", "lo", "start").mapInPandas(
         lambda it: (pd.DataFrame({"key": place_key(p.s1.to_numpy(), p.lo.to_numpy(), p.start.to_numpy())}) for p in it), "key long"
     )
-    wanted = fetched(docs, bloom(keyed, "key"))
-    texts = stored(
-        wanted.withColumnRenamed("doc_id", "lo")
-        .join(several.select("anchor", "s1", "s2", "lo", "start", "segs"), ["anchor", "s1", "s2", "lo", "start"])
-        .dropDuplicates(["anchor", "s1", "s2"]),
-        "texts",
-    )
-    few = texts.where(F.col("segs") <= MOST)
-    words = few.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(1, int(words / 6 / SHARD_WORDS) + 1)
-    by_index = (
-        few.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-        .applyInPandas(lambda pdf: searched(pdf), "anchor long, s1 long, s2 long, least array<long>")
-    )
-    windows = texts.where(F.col("segs") > MOST).select("anchor", "s1", "s2", "lo", "words").mapInPandas(
-        exploded, "w1 long, w2 long, anchor long, s1 long, s2 long, place int, lo long"
-    )
-    minima = windows.groupBy("w1", "w2").agg(F.min("lo").alias("low"), F.max("lo").alias("high")).where("low < high")
-    lower = (
-        windows.join(minima.select("w1", "w2", "low"), ["w1", "w2"]).where("low < lo")
-        .groupBy("anchor", "s1", "s2").agg(F.map_from_entries(F.collect_set(F.struct("place", "low"))).alias("at"))
-    )
-    by_hash = texts.where(F.col("segs") > MOST).select("anchor", "s1", "s2", "lo").join(lower, ["anchor", "s1", "s2"], "left")
-    lone = distinct.join(kinds.where("segs = 1").select("anchor"), "anchor").where("lo < hi")
+    wanted = fetched(docs, bloom(keyed, "key")).withColumnRenamed("doc_id", "lo")
+    texts = wanted.join(several, ["anchor", "s1", "s2", "lo", "start"]).dropDuplicates(["anchor", "s1", "s2"])
+    texts = stored(texts.select(F.col("anchor").alias("key"), "s1", "s2", "n", "at", "lo", "words"), "texts")
     place = ["anchor", "s1", "s2"]
-    mine = segs.select(*place, "n", "doc_id", "text_key", "start")
-    found = (
-        mine.join(lone.select(*place, "lo"), place).where("lo < doc_id")
-        .select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("a"), F.expr("start + n").alias("b"))).alias("ranges"))
-        .unionByName(
-            mine.join(stored(by_index, "searched"), place).select(
-                "doc_id", "text_key",
-                F.expr("transform(filter(sequence(0, n - 1), i -> least[i] < doc_id), i -> struct(start + i AS a, start + i + 1 AS b))").alias("ranges"),
-            )
-        )
-        .unionByName(
-            mine.join(by_hash, place).select(
-                "doc_id", "text_key",
-                F.expr("transform(filter(sequence(0, n - 1), i -> coalesce(element_at(at, i), lo) < doc_id), i -> struct(start + i AS a, start + i + 1 AS b))").alias("ranges"),
-            )
-        )
-        .where("size(ranges) > 0")
+    lone = distinct.join(kinds.where("segs = 1").select("anchor"), "anchor").where("lo < hi")
+    answers = stored(
+        minima(texts).withColumnRenamed("key", "anchor").select(*place, "least", F.lit(None).cast("long").alias("all"))
+        .unionByName(lone.select(*place, F.lit(None).cast("array<long>").alias("least"), F.col("lo").alias("all"))),
+        "answers",
     )
-    return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    # The copies of one segment are one key; both sides are plain exchanges, so a hot one is split by adaptive execution.
+    each_window = "transform(filter(sequence(0, n - 1), i -> least[i] < doc_id), i -> struct(start + i AS a, start + i + 1 AS b))"
+    ranges = F.when(F.col("all").isNull(), F.expr(each_window)).when(F.col("all") < F.col("doc_id"), F.array(F.struct(F.col("start").alias("a"), F.expr("start + n").alias("b"))))
+    found = segs.select(*place, "n", "doc_id", "text_key", "start").join(answers, place).select("doc_id", "text_key", ranges.alias("ranges")).where("size(ranges) > 0")
+    return stored(found, "ranges").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def covered(n: int, ranges) -> np.ndarray:
@@ -347,10 +390,12 @@ def judged(docs: DataFrame, changed: DataFrame, tell: Callable[[pd.DataFrame], p
         ids = pdf.doc_id.where(known, 0).to_numpy().astype(np.int64)
         return known & maybe(filter_.value, text_places(ids, keys)), keys
 
+    @lean
     def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield tell(pdf[~marked(pdf)[0]].assign(ranges=None))
 
+    @lean
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found, keys = marked(pdf)
@@ -360,7 +405,7 @@ def judged(docs: DataFrame, changed: DataFrame, tell: Callable[[pd.DataFrame], p
     ranges = changed.select(F.col("doc_id").alias("doc_id_"), F.col("text_key").alias("other_key_"), "ranges")
     same = (F.col("doc_id") == F.col("doc_id_")) & (F.col("text_key_") == F.col("other_key_"))
     met = found.join(ranges, same, "left").select(*[found[c] for c in docs.columns], ranges["ranges"])
-    return docs.mapInPandas(sure, schema).unionByName(met.mapInPandas(lambda it: map(tell, it), schema))
+    return docs.mapInPandas(sure, schema).unionByName(met.mapInPandas(lean(lambda it: map(tell, it)), schema))
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
