@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute
-from voxlake.llm import substring_dedup
+from voxlake.llm import bloom, substring_dedup
 from voxlake.llm.fm_index import FmIndex, Marks, Minima
 
 RNG = np.random.default_rng(3)
@@ -37,7 +37,7 @@ def test_common_lines_are_dealt_out_by_longer_runs(spark, monkeypatch, split, n,
 
 
 def test_without_bloom_filters(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", 0)
     rows = crowd(20, own(60))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, substring_dedup.report(docs).collect())) == sorted(brute.without_repeats(rows))

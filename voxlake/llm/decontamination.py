@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import WORD_BYTES, bounded, stored, text_bytes
+from voxlake.llm.common import WORD_BYTES, bounded, lean, stored, text_bytes
 
 WINDOW = 10
 #: Words of benchmark text in one automaton; its nodes, about 20 a word, then take under 200 MB.
@@ -141,6 +141,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, with_text: bool = False)
 def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, start, end, found) for every hit passage: character offsets in the original text, and the passage itself."""
 
+    @lean
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []

@@ -30,16 +30,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import bounded
+from voxlake.llm.common import bounded, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE, OWN_SPACE, STOP, END = 0x2581, 0x110000, 0x110001, 10
 #: Characters of text in one vector batch.
-BATCH = 1 << 20
+BATCH = 1 << 19
 P, PLACE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Lattices are made for words of these sizes together, about so many cells at once; words beyond the last are on their own.
-SIZES = np.array([4, 6, 8, 10, 12, 16, 24, 48])
+SIZES = np.array([4, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 48])
 LONG = int(SIZES[-1])
 CELLS = 1 << 20
 #: Places of a long word that share an offset, and that are looked at together.
@@ -557,6 +557,7 @@ def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int],
 def samples(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
     """(doc_id, sample, log_prob, perturbed, inclusion, ids), up to k rows for every document."""
 
+    @lean
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for docs, keys, texts in gathered(batches):
@@ -570,6 +571,7 @@ def samples(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
 def decoded(segments: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, sample, text): decodes columns doc_id, sample and ids."""
 
+    @lean
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for pdf in batches:
@@ -581,6 +583,7 @@ def decoded(segments: DataFrame, model: str = MODEL) -> DataFrame:
 def report(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
     """Per sample its figures, the checksum of its identifiers, and whether decoding gives the text back."""
 
+    @lean
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for docs, keys, texts in gathered(batches):

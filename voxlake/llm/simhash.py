@@ -7,10 +7,12 @@ estimated work, from bit counts and bit correlations of the whole corpus. Probin
 a partition's value on both sides, rows meet by (partition, value), and every candidate is verified on all bits.
 
 For similarity thresholds rather than a number of bits (`keep_first`), a fingerprint is of the SET of shingles, each counted
-once, and has further lanes of 64 bits: the first lane finds candidates, the bits that differ in all lanes pick those worth a
-look, and every link is proven by the Jaccard similarity of the two sets of shingle hashes. Candidate links are proven along
-a spanning forest first. Only where a link of a group fails are the other candidates of that group looked at, those between
-its proven pieces, in cells of bounded size.
+once, and has further lanes of 64 bits. With `recall` the thresholds are allocated over the partitions of all lanes, such that
+a pair at the least similarity is met in at least one partition with that probability, again at the least estimated work;
+without it, the first lane must find all pairs within `tau` bits. The bits that differ in all lanes pick the pairs worth a
+look, and every link is proven by the Jaccard similarity of the two sets of shingle hashes, which are made anew, in a second
+pass, for the sets that have a candidate. Candidate links are proven along a spanning forest first. Only where a link of a
+group fails are the other candidates of that group looked at, those between its proven pieces, in cells of bounded size.
 
 Equal fingerprints are one node, so groups of copies cost one row each. Within a bucket only the edges of a spanning forest
 leave the task, never all pairs. A bucket with more than `BUCKET` fingerprints is not compared as it is: its rows get new
@@ -24,7 +26,7 @@ are read, so other columns never clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -34,12 +36,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import LOWER, bounded, stored, text_bytes
+from voxlake.llm.bloom import bloom, maybe
+from voxlake.llm.common import LOWER, bounded, lean, stored, text_bytes
 from voxlake.llm.components import components
 
 WORDS, TAU = 3, 2
 BUCKET, DEPTH, BLOCK, LEADERS = 2000, 3, 1000, 16
 SIMILARITY, CELL = 0.8, 500
+#: Pairs of fingerprints that are compared in the time a row takes to be sent.
+ROW_COST = 500.0
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -98,6 +103,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1) -> DataFra
     """(doc_id, node, fingerprint, lane1, ...), all as signed longs."""
     names = lane_names(lanes)
 
+    @lean
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             prints = np.array([fingerprint(t, words, lanes) for t in pdf.text], np.uint64).reshape(-1, lanes)
@@ -114,32 +120,51 @@ def row_key() -> dict[str, F.Column]:
 
 
 def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """(no_id, id, text_id, node, set_id, hashes, fingerprint, lane1, ...): of the set of shingles; hashes are its sorted bytes."""
+    """(no_id, id, text_id, node, set_id, fingerprint, lane1, ...): of the set of shingles."""
     names = lane_names(lanes)
 
+    @lean
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [np.unique(shingles(t, words)) for t in pdf.text]
             prints = np.array([majority(s, lanes) for s in sets], np.uint64).reshape(-1, lanes)
             columns = dict(zip(names, np.ascontiguousarray(prints.T).view(np.int64), strict=True))
-            hashes = [s.tobytes() for s in sets]
-            set_id = np.array([xxhash.xxh64_intdigest(h) for h in hashes], np.uint64).view(np.int64)
-            yield pd.DataFrame({"no_id": pdf.no_id, "id": pdf.id, "text_id": pdf.text_id, "node": node_of(np.ascontiguousarray(prints)), "set_id": set_id, "hashes": hashes, **columns})
+            set_id = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"no_id": pdf.no_id, "id": pdf.id, "text_id": pdf.text_id, "node": node_of(np.ascontiguousarray(prints)), "set_id": set_id, **columns})
 
     bounded(docs.sparkSession)
-    schema = "no_id boolean, id long, text_id long, node long, set_id long, hashes binary, " + ", ".join(f"{c} long" for c in names)
+    schema = "no_id boolean, id long, text_id long, node long, set_id long, " + ", ".join(f"{c} long" for c in names)
     return docs.select(*[c.alias(name) for name, c in row_key().items()], "text").mapInPandas(made, schema)
 
 
+def set_hashes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(set_id, hashes) of the sets (set_id, row), the sorted hashes of their shingles as bytes; `row` is the hash of a row's key.
+
+    One row stands for a set, and a Bloom filter tells the others apart before their shingles are made."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "row"))
+
+    @lean
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mine = pdf[maybe(filter_.value, pdf.row.to_numpy(np.int64))]
+            for a in range(0, len(mine), 100):
+                part = mine.iloc[a : a + 100]
+                yield pd.DataFrame({"row": part.row, "hashes": [np.unique(shingles(t, words)).tobytes() for t in part.text]})
+
+    rows = docs.select(F.xxhash64(*row_key().values()).alias("row"), "text").mapInPandas(made, "row long, hashes binary")
+    return rows.join(wanted, "row").groupBy("set_id").agg(F.first("hashes").alias("hashes"))
+
+
 @dataclass(frozen=True)
 class Part:
     bits: tuple[int, ...]
     threshold: int
 
     def values(self, prints: np.ndarray) -> np.ndarray:
+        """Of rows of lanes; bit 64 * k + b is bit b of lane k."""
         out = np.zeros(len(prints), np.uint64)
         for k, b in enumerate(self.bits):
-            out |= (prints >> np.uint64(b) & np.uint64(1)) << np.uint64(k)
+            out |= (prints[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)) << np.uint64(k)
         return out
 
     def masks(self) -> np.ndarray:
@@ -154,21 +179,24 @@ def radius(threshold: int) -> int:
     return (threshold + 1) // 2
 
 
-def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and how many have both bit i and bit j, over all of them."""
+def bit_statistics(prints: DataFrame, lanes: int = 1) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and for each lane how many have both bit i and bit j, over all of them."""
+    names = lane_names(lanes)
 
+    @lean
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, both = 0, np.zeros((64, 64))
+        n, both = 0, np.zeros((lanes, 64, 64))
         for pdf in batches:
-            bits = np.unpackbits(pdf.fingerprint.to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            n, both = n + len(bits), both + bits.T @ bits
-        yield pd.DataFrame({"cell": np.arange(4097), "n": np.append(both.ravel(), n).astype(np.int64)})
+            n += len(pdf)
+            for k, f in enumerate(lanes_of(pdf, names).T):
+                bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                both[k] += bits.T @ bits
+        yield pd.DataFrame({"cell": np.arange(both.size + 1), "n": np.append(both.ravel(), n).astype(np.int64)})
 
-    rows = prints.select("fingerprint").mapInPandas(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = np.zeros(4097)
-    for r in rows:
-        cells[r.cell] = r.n
-    return int(cells[4096]), cells[:4096].reshape(64, 64)
+    rows = prints.select(*names).mapInPandas(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = np.zeros(lanes * 4096 + 1)
+    cells[rows.cell.to_numpy()] = rows.n.to_numpy()
+    return int(cells[-1]), cells[:-1].reshape(lanes, 64, 64)
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[tuple[int, ...]]:
@@ -199,30 +227,74 @@ def within(p: np.ndarray, correlation: np.ndarray) -> np.ndarray:
     return np.cumsum(chance) ** effective
 
 
-def allocate(n: int, both: np.ndarray, tau: int) -> list[Part]:
-    """Over numbers of partitions and thresholds, the least estimated work: rows sent plus pairs verified."""
+def correlations(n: int, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of set bits, and how bits go together, from the counts of one lane."""
     p = np.diag(both) / max(1, n)
     deviation = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     link = (both / max(1, n) - np.outer(p, p)) / np.outer(deviation, deviation)
     np.fill_diagonal(link, 1)
+    return p, link
+
+
+def cheapest(n: int, groups: list[tuple[tuple[int, ...], np.ndarray]], worth: Callable[[int, int], int], need: int) -> tuple[float, list[Part]] | None:
+    """Dynamic programming over the thresholds of groups of bits, each with its chances `within`: the least estimated work, rows
+    sent plus pairs verified, for which the worths (of a size and a threshold) add up to `need`; none if nothing does."""
+    least: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for bits, chance in groups:
+        grown: dict[int, tuple[float, tuple | None]] = {}
+        for t in (-1, 0, 2, 4):
+            reach = radius(t)
+            keys = 0 if t < 0 else sum(comb(len(bits), r) for r in range(reach + 1))
+            work = 0.0 if t < 0 else ROW_COST * n * (keys + reach) + n * n / 2 * (chance[0] * keys + (chance[min(2 * reach, len(bits))] - chance[0]) * 2 * reach)
+            unit = 0 if t < 0 else worth(len(bits), t)
+            for used, (so_far, chosen) in least.items():
+                total = min(need, used + unit)
+                if total not in grown or so_far + work < grown[total][0]:
+                    grown[total] = (so_far + work, (t, chosen))
+        least = grown
+    if need not in least:
+        return None
+    work, chosen = least[need]
+    thresholds = []
+    while chosen is not None:
+        thresholds.append(chosen[0])
+        chosen = chosen[1]
+    return work, [Part(bits, t) for (bits, _), t in zip(groups, reversed(thresholds), strict=True)]
+
+
+def allocate(n: int, both: np.ndarray, tau: int) -> list[Part]:
+    """Partitions and thresholds that meet every pair within tau bits, over numbers of partitions the least estimated work."""
+    p, link = correlations(n, both)
     best: tuple[float, list[Part]] | None = None
     for parts in range(1, tau + 2):
-        groups = grouped_bits(n, both, parts)
-        # least[b]: work and thresholds when the partitions so far have used b of the tau + 1 units.
-        least: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for g in groups:
-            chance, grown = within(p[list(g)], link[np.ix_(g, g)]), {}
-            for t in (-1, 0, 2, 4):
-                reach = radius(t)
-                keys = 0 if t < 0 else sum(comb(len(g), r) for r in range(reach + 1))
-                work = 0.0 if t < 0 else 200.0 * n * (keys + reach) + n * n / 2 * chance[min(2 * reach, len(g))] * (1 + keys) / 2
-                for used, (so_far, chosen) in least.items():
-                    total = min(tau + 1, used + t + 1)
-                    if total not in grown or so_far + work < grown[total][0]:
-                        grown[total] = (so_far + work, [*chosen, t])
-            least = grown
-        if tau + 1 in least and (best is None or least[tau + 1][0] < best[0]):
-            best = (least[tau + 1][0], [Part(g, t) for g, t in zip(groups, least[tau + 1][1], strict=True)])
+        groups = [(g, within(p[list(g)], link[np.ix_(g, g)])) for g in grouped_bits(n, both, parts)]
+        found = cheapest(n, groups, lambda _, t: t + 1, tau + 1)
+        if found and (best is None or found[0] < best[0]):
+            best = found
+    return best[1]
+
+
+def allocate_wide(n: int, both: np.ndarray, similarity: float, recall: float) -> list[Part]:
+    """Partitions of all lanes and thresholds that meet a pair of sets of this similarity at least with this probability.
+
+    Sets of Jaccard similarity J have a cosine of 2J / (1 + J), and a bit differs with probability arccos(cosine) / pi. The worth
+    of a threshold is the logarithm of the chance to miss, which adds up, in hundredths."""
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+    def worth(size: int, t: int) -> int:
+        caught = sum(comb(size, d) * differ**d * (1 - differ) ** (size - d) for d in range(min(t, size) + 1))
+        return int(-100 * np.log(max(1e-9, 1 - caught)))
+
+    need = int(np.ceil(-100 * np.log(1 - recall)))
+    stats = [correlations(n, lane) for lane in both]
+    best: tuple[float, list[Part]] | None = None
+    for parts in range(2, 13):
+        groups = []
+        for k, (p, link) in enumerate(stats):
+            groups += [(tuple(64 * k + b for b in g), within(p[list(g)], link[np.ix_(g, g)])) for g in grouped_bits(n, both[k], parts)]
+        found = cheapest(n, groups, worth, need)
+        if found and (best is None or found[0] < best[0]):
+            best = found
     return best[1]
 
 
@@ -235,12 +307,13 @@ def probes(nodes: DataFrame, parts: list[Part], lanes: int = 1) -> DataFrame:
     """(part, value, rest, fingerprint, lane1, ...): a row for each value that a fingerprint probes."""
     names = lane_names(lanes)
 
+    @lean
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f = lanes_of(pdf, names)
             for number, part in enumerate(parts):
                 if part.threshold >= 0:
-                    own, masks = part.values(f[:, 0]), part.masks()
+                    own, masks = part.values(f), part.masks()
                     for a in range(0, len(f), max(1, (1 << 18) // len(masks))):
                         b = a + max(1, (1 << 18) // len(masks))
                         value = (own[a:b, None] ^ masks[None, :]).ravel()
@@ -308,6 +381,7 @@ def verify(keyed: DataFrame, tau: int, last: bool, lanes: int = 1, most: int | N
     """Rows (a, b, part, value, rest): edges between nodes with part -1, and the rows of buckets that are too large."""
     names = lane_names(lanes)
 
+    @lean
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         edges: list[np.ndarray] = []
@@ -362,6 +436,7 @@ def verify(keyed: DataFrame, tau: int, last: bool, lanes: int = 1, most: int | N
 def finer(rows: DataFrame, parts: list[Part], tau: int, depth: int) -> DataFrame:
     """New keys for the rows of large buckets: the old key, and one of tau + 1 parts of the bits outside the partition."""
 
+    @lean
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             f = pdf.a.to_numpy(np.int64).view(np.uint64)
@@ -370,7 +445,7 @@ def finer(rows: DataFrame, parts: list[Part], tau: int, depth: int) -> DataFrame
                 if len(mine):
                     others = np.random.default_rng(depth).permutation([b for b in range(64) if b not in part.bits])
                     for k, bits in enumerate(np.array_split(others, tau + 1)):
-                        inner = Part(tuple(bits), 0).values(f[mine])
+                        inner = Part(tuple(bits), 0).values(f[mine, None])
                         for v, old in ((inner, pdf.rest.to_numpy(np.int64)[mine].view(np.uint64)),):
                             mixed = (old * np.uint64(0x9E3779B97F4A7C15) + v * np.uint64(tau + 1) + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93)
                             yield pd.DataFrame({"part": np.int32(number), "value": pdf.value.to_numpy()[mine], "rest": (mixed ^ mixed >> np.uint64(32)).view(np.int64), "fingerprint": f[mine].view(np.int64)})
@@ -378,13 +453,13 @@ def finer(rows: DataFrame, parts: list[Part], tau: int, depth: int) -> DataFrame
     return rows.mapInPandas(keyed, "part int, value long, rest long, fingerprint long")
 
 
-def links(nodes: DataFrame, tau: int = TAU, lanes: int = 1, most: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, tau: int = TAU, lanes: int = 1, most: int | None = None, least: float | None = None, recall: float | None = None) -> DataFrame:
     """(a, b): edges whose components are those of all links among the distinct fingerprints.
 
     Wide fingerprints (several lanes) link at many differing bits, so parts of what is outside a partition would not tell
     them apart; their buckets are compared block by block at once."""
-    n, both = bit_statistics(nodes)
-    parts = allocate(n, both, tau)
+    n, both = bit_statistics(nodes, 1 if recall is None else lanes)
+    parts = allocate(n, both[0], tau) if recall is None else allocate_wide(n, both, least, recall)
     edges, keyed, depths = None, probes(nodes, parts, lanes), 0 if lanes > 1 else DEPTH
     for depth in range(depths + 1):
         found = stored(verify(keyed, tau, depth == depths, lanes, most), "links")
@@ -407,6 +482,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def proven(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, root) with the column linked: whether the two sets are similar."""
 
+    @lean
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             linked = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(pdf.x, pdf.y, strict=True)]
@@ -454,6 +530,7 @@ def cell_links(rows: DataFrame, tau: int, lanes: int, most: int | None, least: f
                         out.append((ids[x], ids[y]))
         return out
 
+    @lean
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -470,11 +547,11 @@ def cell_links(rows: DataFrame, tau: int, lanes: int, most: int | None, least: f
     return in_cells(rows).repartition(n, *key).sortWithinPartitions(*key).mapInPandas(compared, "a long, b long")
 
 
-def set_links(prints: DataFrame, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
+def set_links(docs: DataFrame, words: int, prints: DataFrame, tau: int, lanes: int, most: int | None, least: float, recall: float | None) -> DataFrame:
     """(a, b): proven links of sets, whose components are those of all candidate pairs that are similar enough."""
     names = lane_names(lanes)
     nodes = stored(prints.select("node", *names).distinct(), "nodes")
-    found = links(nodes, tau, lanes, most).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    found = links(nodes, tau, lanes, most, least, recall).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     found = stored(found, "candidates")
     roots = components(found).withColumnRenamed("a", "node")
     sets = stored(prints.select("set_id", "node", *names).distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sets")
@@ -485,7 +562,8 @@ def set_links(prints: DataFrame, tau: int, lanes: int, most: int | None, least:
     same = sets.join(first.select("node", "rep"), "node").where("set_id <> rep").select(F.col("set_id").alias("a"), F.col("rep").alias("b"), "root")
     pairs = stored(pairs.unionByName(same), "pairs")
     needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    hashes = stored(prints.select("set_id", "hashes").join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.first("hashes").alias("hashes")), "hashes")
+    wanted = prints.join(needed, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct(*row_key())).alias("key")).select("set_id", F.xxhash64("key.*").alias("row"))
+    hashes = stored(set_hashes(docs, stored(wanted, "wanted"), words), "hashes")
     told = stored(proven(pairs, hashes, least), "proven")
     edges, doubtful = told.where("linked").select("a", "b"), told.where("NOT linked").select("root").distinct()
     pieces = components(edges).select(F.col("a").alias("set_id"), F.col("root").alias("piece"))
@@ -504,10 +582,10 @@ def grouped(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1,
     return prints.join(labels, "node").select("doc_id", "fingerprint", "component_id")
 
 
-def grouped_sets(docs: DataFrame, words: int, tau: int, lanes: int, most: int | None, least: float) -> DataFrame:
+def grouped_sets(docs: DataFrame, words: int, tau: int, lanes: int, most: int | None, least: float, recall: float | None = None) -> DataFrame:
     """(no_id, id, text_id, root) of every row: rows with one root are a group by proven links between their sets of shingles."""
     prints = stored(set_fingerprints(docs, words, lanes), "fingerprints")
-    roots = components(set_links(prints, tau, lanes, most, least)).withColumnRenamed("a", "set_id")
+    roots = components(set_links(docs, words, prints, tau, lanes, most, least, recall)).withColumnRenamed("a", "set_id")
     return prints.select("no_id", "id", "text_id", "set_id").join(roots, "set_id", "left").select("no_id", "id", "text_id", F.coalesce("root", "set_id").alias("root"))
 
 
@@ -515,12 +593,12 @@ def report(docs: DataFrame, words: int = WORDS, tau: int = TAU) -> DataFrame:
     return grouped(docs, words, tau).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None, least: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = WORDS, tau: int = TAU, lanes: int = 1, most: int | None = None, least: float = SIMILARITY, recall: float | None = None) -> DataFrame:
     """The rows of docs, all columns, with one row of each group: the smallest id, then the least hash of the text.
 
     Rows are told apart by id and text, so different groups under one id each keep a row; rows without an id come last in
     their group, and a group of such rows only keeps one of them."""
-    groups = grouped_sets(docs, words, tau, lanes, most, least)
+    groups = grouped_sets(docs, words, tau, lanes, most, least, recall)
     first = groups.groupBy("root").agg(F.min(F.struct("no_id", "id", "text_id")).alias("first")).select("first.*")
     keys = [c.alias(f"{name}_") for name, c in row_key().items()]
     same = [F.col(f"{name}_") == F.col(name) for name in row_key()]

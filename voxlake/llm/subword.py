@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import bounded, by_size, held_out, labelled_sample, text_bytes
+from voxlake.llm.common import bounded, by_size, held_out, labelled_sample, lean, text_bytes
 
 BITS, DIM = 18, 8
 #: Factor on the vectors' rate: a mean spreads a document's gradient over all its features.
@@ -129,6 +129,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> Model:
     """Trains on at most `sample_rows` labelled rows; their features are counted on the executors."""
 
+    @lean
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = sparse([text_bytes(t) for t in pdf.text])
@@ -146,6 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; score is the probability of class 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": shared.value.score([text_bytes(t) for t in pdf.text])})
@@ -165,6 +167,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """The rows of docs, all columns, that the classifier does not reject; scored row by row, so repeated ids stay apart."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
+    @lean
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf[shared.value.score([text_bytes(t) for t in pdf.text]) >= threshold]

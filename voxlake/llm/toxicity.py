@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from voxlake.llm.common import WORD_BYTES, bounded, held_out, labelled_sample, text_bytes
+from voxlake.llm.common import WORD_BYTES, bounded, held_out, labelled_sample, lean, text_bytes
 
 #: Sets of terms that may stand for each other; a parameter of `fit`.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -118,6 +118,7 @@ def train(
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, terms=IDENTITY_TERMS, penalty: float = 2.0) -> Model:
     """Trains on at most `sample_rows` labelled rows, whose word sets are made on the executors."""
 
+    @lean
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "words": [b" ".join(sorted(words(t))) for t in pdf.text]})
@@ -131,6 +132,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; score is the probability that the text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "score": [shared.value.score(t) for t in pdf.text]})
