@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxlake.llm import decontamination, pieces, simhash, substring_dedup, subword
 from voxlake.llm.common import stored, table
 
-#: Near copies: sets of shingles of 5 words, exact similarity 0.8 or more. The bits only choose the pairs that are looked at. Sets of Jaccard similarity J have a cosine of 2J / (1 + J), and
-#: their fingerprints differ in a share arccos(cosine) / pi of the bits: at 0.8, in 38.8 of 256 with a deviation of 5.7.
-#: One deviation more is still a candidate; a pair at 0.8 differs in over 14 bits of the first lane once in twenty times.
-SHINGLE_WORDS, FIRST_LANE_BITS, LANES, ALL_BITS, SIMILARITY = 5, 14, 4, 44, 0.8
+#: Near copies: sets of shingles of 5 words, exact similarity 0.8 or more. Fingerprints only choose the pairs that are looked at.
+#: Those of two sets at 0.8 differ in 38.8 of 256 bits with a deviation of 5.7, and in 9.7 of the first 64 with one of 2.9;
+#: the partitions that are probed meet such a pair with a probability of 0.97.
+SHINGLE_WORDS, FIRST_LANE_BITS, LANES, ALL_BITS, SIMILARITY, RECALL = 5, 20, 4, 54, 0.8, 0.97
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that with the smallest id; rows without an id come last."""
-    return simhash.keep_first(docs, SHINGLE_WORDS, FIRST_LANE_BITS, LANES, ALL_BITS, SIMILARITY)
+    return simhash.keep_first(docs, SHINGLE_WORDS, FIRST_LANE_BITS, LANES, ALL_BITS, SIMILARITY, RECALL)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
