@@ -6,8 +6,9 @@ routed: each has an anchor, the run of 10 words in it with the least hash, which
 windows with one anchor form a segment, and all windows of an anchor meet in one shard.
 
 1. Anchors that only one document has cannot repeat. Those of several documents make a Bloom filter sized by their number.
-2. Documents pass the filter and leave the segments of possibly shared anchors, without text. Equal segments are combined
-   before the shuffle: copies of a segment, however many, cost one row a task.
+2. Documents pass the filter and leave the segments of possibly shared anchors, without text, neighbouring ones as a chain that
+   ends where the content says so. Equal chains are combined before the shuffle: copies of a passage, however many, cost one
+   row a task, and a document that has it a row for about eight segments.
 3. An anchor with one distinct segment needs no search: all its windows start in the least document that has the segment. The
    others' distinct segments are fetched, with their words, in one more pass (again behind a Bloom filter).
 4. Each shard builds an FM-index of the segments of its anchors and streams them through it: backward search gives every
@@ -168,8 +169,16 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
 
 
-def shared_segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(anchor, s1, s2, n, at, doc_id, text_key, start) of the segments whose anchor may be shared."""
+def chains(s: dict[str, np.ndarray]) -> np.ndarray:
+    """Where chains begin among the segments: at a gap between windows, at an anchor that says so, and after 64 segments."""
+    joined = (s["text"][1:] == s["text"][:-1]) & (s["start"][1:] == s["start"][:-1] + s["n"][:-1]) & (s["anchor"][1:] & 7 != 0)
+    first = np.concatenate([np.ones(min(1, len(s["text"])), bool), ~joined])
+    run = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return np.flatnonzero(first | ((np.arange(len(first)) - run) % 64 == 0))
+
+
+def shared_chains(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(c1, c2, doc_id, text_key, start, parts) of the chains of segments whose anchor may be shared; parts are their segments."""
     lanes = bloom(shared, "anchor")
     filter_ = docs.sparkSession.sparkContext.broadcast(lanes)
 
@@ -180,13 +189,32 @@ def shared_segments(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 s = segments(texts)
                 ok = maybe(filter_.value, s["anchor"])
                 s = {k: v[ok] for k, v in s.items()}
+                first = chains(s)
+                text = s["text"][first]
                 keys = np.zeros(len(texts), np.int64)
-                for k in np.unique(s["text"]):
+                for k in np.unique(text):
                     keys[k] = text_key(texts[k])
-                yield pd.DataFrame({"anchor": s["anchor"], "s1": s["s1"], "s2": s["s2"], "n": s["n"].astype(np.int32), "at": s["at"].astype(np.int32), "doc_id": ids[s["text"]], "text_key": keys[s["text"]], "start": s["start"]})
+                packed = np.stack([s["anchor"], s["s1"], s["s2"], s["n"] << 32 | s["at"]], axis=1)
+                parts = [packed[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(packed)], strict=True)] if len(first) else []
+                hashes = np.array([np.frombuffer(hashlib.blake2b(x, digest_size=16).digest(), np.int64) for x in parts], np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"c1": hashes[:, 0], "c2": hashes[:, 1], "doc_id": ids[text], "text_key": keys[text], "start": s["start"][first], "parts": parts})
+
+    return docs.select("doc_id", "text").mapInPandas(found, "c1 long, c2 long, doc_id long, text_key long, start long, parts binary")
+
+
+def unchained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(c1, c2, rel, anchor, s1, s2, n, at, lo, start, hi): the segments of distinct chains, `rel` windows after their begin."""
+    for pdf in batches:
+        size = np.array([len(x) // 32 for x in pdf.parts], np.int64)
+        packed = np.frombuffer(b"".join(pdf.parts), np.int64).reshape(-1, 4)
+        of, n = np.repeat(np.arange(len(pdf)), size), packed[:, 3] >> 32
+        before = np.cumsum(n) - n
+        rel = before - before[(np.cumsum(size) - size)[of]]
+        rows = {c: pdf[c].to_numpy(np.int64)[of] for c in ("c1", "c2", "lo", "hi")}
+        yield pd.DataFrame({**rows, "rel": rel, "start": pdf.start.to_numpy(np.int64)[of] + rel, "anchor": packed[:, 0], "s1": packed[:, 1], "s2": packed[:, 2], "n": n, "at": packed[:, 3] & 0xFFFFFFFF})
+
 
-    out = docs.select("doc_id", "text").mapInPandas(found, "anchor long, s1 long, s2 long, n int, at int, doc_id long, text_key long, start long")
-    return out if lanes is not None else out.join(shared, "anchor", "left_semi")
+MEMBERS = "c1 long, c2 long, lo long, hi long, rel long, start long, anchor long, s1 long, s2 long, n int, at int"
 
 
 def fetched(docs: DataFrame, lanes: np.ndarray | None) -> DataFrame:
@@ -298,11 +326,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, ranges): per document the ranges [first, last) of windows that start in a smaller document too."""
     bounded(docs.sparkSession)
     shared = stored(shared_anchors(docs), "anchors")
-    segs = stored(shared_segments(docs, shared), "segments")
-    distinct = segs.groupBy("anchor", "s1", "s2").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi"), F.first("n").alias("n"), F.first("at").alias("at")
+    held = stored(shared_chains(docs, shared), "chains")
+    kept = held.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("hi"), F.first("parts").alias("parts"))
+    members = stored(kept.select("c1", "c2", "parts", F.col("first.doc_id").alias("lo"), F.col("first.start").alias("start"), "hi").mapInPandas(lean(unchained), MEMBERS), "members")
+    distinct = members.groupBy("anchor", "s1", "s2").agg(
+        F.min(F.struct("lo", "start")).alias("first"), F.max("hi").alias("hi"), F.first("n").alias("n"), F.first("at").alias("at")
     )
-    distinct = stored(distinct.select("anchor", "s1", "s2", "n", "at", F.col("first.doc_id").alias("lo"), F.col("first.start").alias("start"), "hi"), "distinct")
+    distinct = stored(distinct.select("anchor", "s1", "s2", "n", "at", "first.lo", "first.start", "hi"), "distinct")
     kinds = stored(distinct.groupBy("anchor").agg(F.count("*").alias("segs"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most"), "kinds")
     several = stored(distinct.join(kinds.where("segs > 1").select("anchor"), "anchor").select("anchor", "s1", "s2", "n", "at", "lo", "start"), "several")
 
@@ -319,10 +349,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         .unionByName(lone.select(*place, F.lit(None).cast("array<long>").alias("least"), F.col("lo").alias("all"))),
         "answers",
     )
-    # The copies of one segment are one key; both sides are plain exchanges, so a hot one is split by adaptive execution.
-    each_window = "transform(filter(sequence(0, n - 1), i -> least[i] < doc_id), i -> struct(start + i AS a, start + i + 1 AS b))"
-    ranges = F.when(F.col("all").isNull(), F.expr(each_window)).when(F.col("all") < F.col("doc_id"), F.array(F.struct(F.col("start").alias("a"), F.expr("start + n").alias("b"))))
-    found = segs.select(*place, "n", "doc_id", "text_key", "start").join(answers, place).select("doc_id", "text_key", ranges.alias("ranges")).where("size(ranges) > 0")
+    told = members.select("c1", "c2", "rel", "n", *place).join(answers, place).groupBy("c1", "c2").agg(F.collect_list(F.struct("rel", "n", "least", "all")).alias("told"))
+    # The copies of one chain are one key; both sides are plain exchanges, so a hot one is split by adaptive execution.
+    each_window = "transform(filter(sequence(0, t.n - 1), i -> t.least[i] < doc_id), i -> struct(start + t.rel + i AS a, start + t.rel + i + 1 AS b))"
+    alone = "CASE WHEN t.all < doc_id THEN array(struct(start + t.rel AS a, start + t.rel + t.n AS b)) ELSE filter(array(struct(start AS a, start AS b)), x -> false) END"
+    ranges = F.expr(f"flatten(transform(told, t -> CASE WHEN t.all IS NULL THEN {each_window} ELSE {alone} END))")
+    found = held.select("c1", "c2", "doc_id", "text_key", "start").join(stored(told, "told"), ["c1", "c2"]).select("doc_id", "text_key", ranges.alias("ranges")).where("size(ranges) > 0")
     return stored(found, "ranges").groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
