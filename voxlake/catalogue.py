@@ -136,7 +136,7 @@ query("format_by_extension", lambda s, d: files(s, d)[0].select("path", pairing.
 
 def nearest_events(s: SparkSession, d: str) -> DataFrame:
     events = s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("pos"))
-    kinds = sorted(r[0] for r in events.select("event_type").distinct().collect())
+    kinds = [*sorted(r[0] for r in events.select("event_type").where("event_type IS NOT NULL").distinct().collect()), None, None]
     left = events.where(F.col("event_type") == kinds[0]).select("user_id", "event_id", "pos")
     right = events.where(F.col("event_type") == kinds[1]).groupBy("user_id", "pos").agg(F.min("event_id").alias("event_id"))
     return pairing.nearest(left, right, "pos", 86400.0, ["user_id"]).select("event_id", "near_event_id", "gap")
@@ -171,6 +171,7 @@ def deep_mean(s: SparkSession, d: str) -> DataFrame:
 
 
 query("agg_lesion_deep_mean", deep_mean)
+query("agg_lesion_deep_mean_whole", deep_mean)
 query("feature_union_by_name", lambda s, d: aggregate.union_all([
     vox(s, d).groupBy("image_id", "roi").agg(F.avg("intensity").alias("stat_mean")),
     vox(s, d).where("roi = 'label_1'").groupBy("image_id", "roi").agg(F.max("intensity").alias("stat_max")),

@@ -45,6 +45,7 @@ _LESIONS = "ROUND(SUM(stat_mean * w) / SUM(w), 6) stat_mean, ROUND(SUM(stat_max
 ORACLES["agg_lesion_per_img"] = LESION + f" SELECT image_id, {_LESIONS} FROM les GROUP BY 1"
 ORACLES["agg_lesion_per_region"] = LESION + f""" SELECT image_id, 'label_' || "label" roi, {_LESIONS} FROM les GROUP BY 1, 2"""
 ORACLES["agg_lesion_deep_mean"] = 'SELECT "label" image_id, ' + ", ".join(f"ROUND(AVG(CAST(embedding[{k + 1}] AS DOUBLE)), 6) + 0.0 deep_feature_{k}" for k in range(8)) + " FROM embeddings GROUP BY 1"
+ORACLES["agg_lesion_deep_mean_whole"] = 'SELECT "label" image_id, ' + ", ".join(f"ROUND(AVG(CAST(embedding[{k + 1}] AS DOUBLE)), 6) + 0.0 deep_feature_{k}" for k in range(64)) + " FROM embeddings GROUP BY 1"
 
 # --- preparation ------------------------------------------------------------------------------------------------------------
 _CELL = "image_id, roi, x, y, z, v intensity"
@@ -212,6 +213,73 @@ for _mode, (_unit, _flat) in _M3.items():
 SELECT image_id, roi, {', '.join(f'AVG({m}) {m}' for m in NGTDM)} FROM f GROUP BY 1, 2"""
     ORACLES[f"ngtdm_{key_of(_mode)}"] = rounded(_sql, list(NGTDM))
 
+# --- zones: components of equal level, in slices and in space; the distance to the outside by eroding the mask step by step ----
+_STEPS = {True: "(VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0)) o(dx, dy, dz)", False: "(VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dx, dy, dz)"}
+
+
+def zone_cells(flat: bool) -> str:
+    """Recursive steps up to zone (image_id, roi, z, i, size, distance)."""
+    eroded = ", ".join(f"""e{k + 1} AS MATERIALIZED (SELECT a.image_id, a.roi, a.x, a.y, a.z FROM (SELECT * FROM e{k}, {_STEPS[flat]}) a JOIN e{k} b ON b.image_id = a.image_id AND b.roi = a.roi
+  AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz GROUP BY 1, 2, 3, 4, 5 HAVING COUNT(*) = {4 if flat else 6})""" for k in range(1, 9))
+    deep = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, 10))
+    return f"""WITH RECURSIVE {Q}, n AS (SELECT *, x + 32 * y + 1024 * z p FROM q),
+ w AS MATERIALIZED (SELECT a.image_id, a.roi, a.p, b.p t FROM (SELECT * FROM n, {AROUND_SQL}{' WHERE dz = 0' if flat else ''}) a JOIN n b ON b.image_id = a.image_id AND b.roi = a.roi
+  AND b.lev = a.lev AND b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz),
+ comp(image_id, roi, p, root) USING KEY (image_id, roi, p) AS (SELECT image_id, roi, p, p FROM n UNION SELECT w.image_id, w.roi, w.t, MIN(c.root) FROM comp c
+  JOIN w ON w.image_id = c.image_id AND w.roi = c.roi AND w.p = c.p JOIN recurring.comp old ON old.image_id = w.image_id AND old.roi = w.roi AND old.p = w.t WHERE c.root < old.root GROUP BY 1, 2, 3),
+ e1 AS (SELECT image_id, roi, x, y, z FROM r), {eroded}, dist AS (SELECT image_id, roi, x + 32 * y + 1024 * z p, COUNT(*) d FROM ({deep}) GROUP BY 1, 2, 3),
+ zone AS (SELECT image_id, roi, MIN(z) z, MIN(lev) i, COUNT(*) size, MIN(d) distance FROM comp JOIN n USING (image_id, roi, p) JOIN dist USING (image_id, roi, p) GROUP BY image_id, roi, root)"""
+
+
+for _mode, (_unit, _flat) in _M3.items():
+    _nv = "SELECT image_id, roi, z u, COUNT(*) nv FROM q GROUP BY 1, 2, 3" if _unit == "z" else "SELECT image_id, roi, 0 u, COUNT(*) nv FROM q GROUP BY 1, 2"
+    for _family, _names, _by in (("glszm", NAMES["szm"], "size"), ("gldzm", NAMES["dzm"], "distance")):
+        _sql = f"""{zone_cells(_flat)}, nv AS ({_nv}), cell AS (SELECT zone.image_id, zone.roi, nv.u, i, {_by} k, COUNT(*) n, ANY_VALUE(nv) nv FROM zone
+ JOIN nv ON nv.image_id = zone.image_id AND nv.roi = zone.roi AND nv.u = {'zone.z' if _unit == 'z' else '0'} GROUP BY 1, 2, 3, 4, 5)""" + emphasis(_family, _names)
+        ORACLES[f"{_family}_{key_of(_mode)}"] = rounded(_sql, list(_names))
+
+# --- moments, diagnostics, axes, autocorrelation -----------------------------------------------------------------------------
+_THIRD = [(a, b, c) for a in range(4) for b in range(4) for c in range(4) if a + b + c in (2, 3)]
+_MOMENTS = f"""WITH {R}, s AS (SELECT *, MIN(v) {_OVER} lo, AVG(v) {_OVER} mean FROM r),
+ f AS (SELECT image_id, roi, x, y, z, 'intensity' fld, CASE WHEN mean > lo THEN (v - lo) / (mean - lo) ELSE 0 END m FROM s UNION ALL SELECT image_id, roi, x, y, z, 'shape', 1.0 FROM s),
+ g AS (SELECT image_id, roi, fld, SUM(m) mass, SUM(x * m) / NULLIF(SUM(m), 0) gx, SUM(y * m) / NULLIF(SUM(m), 0) gy, SUM(z * m) / NULLIF(SUM(m), 0) gz FROM f GROUP BY 1, 2, 3),
+ e AS (SELECT f.image_id, f.roi, f.fld, {', '.join(f"SUM(m * (x - gx) ** {a} * (y - gy) ** {b} * (z - gz) ** {c}) / ANY_VALUE(mass) ** ({'5.0 / 3' if a + b + c == 2 else '2.0'}) n{a}{b}{c}" for a, b, c in _THIRD)}
+  FROM f JOIN g ON g.image_id = f.image_id AND g.roi = f.roi AND g.fld = f.fld WHERE mass <> 0 GROUP BY 1, 2, 3),
+ t AS (SELECT image_id, roi, fld, n200 + n020 + n002 i1, n200 ** 2 + n020 ** 2 + n002 ** 2 + 2 * (n110 ** 2 + n101 ** 2 + n011 ** 2) f2,
+  n200 * n020 + n200 * n002 + n020 * n002 - n110 ** 2 - n101 ** 2 - n011 ** 2 i2, n200 * n020 * n002 + 2 * n110 * n101 * n011 - n200 * n011 ** 2 - n020 * n101 ** 2 - n002 * n110 ** 2 i3,
+  n300 ** 2 + n030 ** 2 + n003 ** 2 + 3 * (n210 ** 2 + n201 ** 2 + n120 ** 2 + n021 ** 2 + n102 ** 2 + n012 ** 2) + 6 * n111 ** 2 f3 FROM e)
+SELECT g.image_id, g.roi, {', '.join(f"MAX(CASE WHEN t.fld = '{w}' THEN {k} END) moment_{k}_{w}" for w in ('intensity', 'shape') for k in ('i1', 'f2', 'i2', 'i3', 'f3'))}
+ FROM g LEFT JOIN t ON t.image_id = g.image_id AND t.roi = g.roi AND t.fld = g.fld GROUP BY 1, 2"""
+ORACLES["moment_invariants"] = rounded(_MOMENTS, [f"moment_{k}_{w}" for w in ("intensity", "shape") for k in ("i1", "f2", "i2", "i3", "f3")])
+
+_BOX = ", ".join(f"CAST(MAX({a}) - MIN({a}) + 1 AS INT) b_{a}" for a in "xyz")
+_DIAG = ["c.image_id", "c.roi"]
+for _tag in ("init", "interp"):
+    _DIAG += [f"i{a} img_dim_{a}_{_tag}_img" for a in "xyz"] + [f"CAST({d} AS DOUBLE) vox_dim_{a}_{_tag}_img" for a, d in zip("xyz", (1, 1, 3), strict=True)]
+    _DIAG += [f"ROUND(i{n}, 3) {n}_int_{_tag}_img" for n in ("mean", "min", "max")]
+for _tag in ("init", "interp", "reseg"):
+    _DIAG += [f"i{a} int_mask_dim_{a}_{_tag}_roi" for a in "xyz"] + [f"b_{a} {m}_mask_bb_dim_{a}_{_tag}_roi" for m in ("int", "morph") for a in "xyz"]
+    _part = "kept" if _tag == "reseg" else "n"
+    _DIAG += [f"{_part} int_mask_vox_count_{_tag}_roi", f"n morph_mask_vox_count_{_tag}_roi"] + [f"ROUND({'k' if _tag == 'reseg' else 'r'}{n}, 3) int_mask_{n}_int_{_tag}_roi" for n in ("mean", "min", "max")]
+ORACLES["diag_features"] = f"""WITH {R}, i AS (SELECT image_id, {', '.join(f'CAST(MAX({a}) + 1 AS INT) i{a}' for a in 'xyz')}, AVG(intensity) imean, MIN(intensity) imin, MAX(intensity) imax FROM vox GROUP BY 1),
+ c AS (SELECT image_id, roi, {_BOX}, COUNT(*) n, AVG(v) rmean, MIN(v) rmin, MAX(v) rmax, COUNT(*) FILTER (v BETWEEN 5 AND 40) kept, AVG(v) FILTER (v BETWEEN 5 AND 40) kmean,
+  MIN(v) FILTER (v BETWEEN 5 AND 40) kmin, MAX(v) FILTER (v BETWEEN 5 AND 40) kmax FROM r GROUP BY 1, 2) SELECT {', '.join(_DIAG)} FROM c JOIN i ON i.image_id = c.image_id"""
+
+_AXES = f"""WITH {R}, s AS (SELECT image_id, roi, COUNT(*) * 3.0 vol, COALESCE(COVAR_SAMP(x, x), 0) xx, COALESCE(COVAR_SAMP(y, y), 0) yy, COALESCE(COVAR_SAMP(3 * z, 3 * z), 0) zz, COALESCE(COVAR_SAMP(x, y), 0) xy,
+  COALESCE(COVAR_SAMP(x, 3 * z), 0) xz, COALESCE(COVAR_SAMP(y, 3 * z), 0) yz, SUM(x * v) / NULLIF(SUM(v), 0) - AVG(x) dx, SUM(y * v) / NULLIF(SUM(v), 0) - AVG(y) dy, SUM(3 * z * v) / NULLIF(SUM(v), 0) - AVG(3 * z) dz FROM r GROUP BY 1, 2),
+ q AS (SELECT *, (xx + yy + zz) / 3 q, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz c1, xx * yy * zz + 2 * xy * xz * yz - xx * yz * yz - yy * xz * xz - zz * xy * xy c0 FROM s),
+ h AS (SELECT *, SQRT(GREATEST(q * q - c1 / 3, 0)) h, q * q * q - q * c1 / 2 + c0 / 2 g FROM q),
+ a AS (SELECT *, CASE WHEN h > 1e-9 THEN ACOS(GREATEST(-1, LEAST(1, g / (h * h * h)))) / 3 ELSE 0 END a FROM h),
+ l AS (SELECT *, GREATEST(q + 2 * h * COS(a), 0) l1, GREATEST(q + 2 * h * COS(a - 2.0943951023931953), 0) l2, GREATEST(q + 2 * h * COS(a + 2.0943951023931953), 0) l3 FROM a)
+SELECT image_id, roi, vol morph_volume_count, SQRT(dx * dx + dy * dy + dz * dz) morph_com_shift, 4 * SQRT(l1) morph_major_axis_length, 4 * SQRT(l2) morph_minor_axis_length, 4 * SQRT(l3) morph_least_axis_length,
+ CASE WHEN l1 > 1e-12 THEN SQRT(l2 / l1) END morph_elongation, CASE WHEN l1 > 1e-12 THEN SQRT(l3 / l1) END morph_flatness FROM l"""
+ORACLES["morph_count_pca_com"] = rounded(_AXES, [f"morph_{m}" for m in ("volume_count", "com_shift", "major_axis_length", "minor_axis_length", "least_axis_length", "elongation", "flatness")])
+_AUTO = f"""WITH {R}, d AS (SELECT *, v - AVG(v) {_OVER} dev FROM r), t AS (SELECT image_id, roi, COUNT(*) n, SUM(dev * dev) ss FROM d GROUP BY 1, 2),
+ p AS (SELECT a.image_id, a.roi, a.dev d1, b.dev d2, 1 / SQRT((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + 9 * (a.z - b.z) ** 2) w FROM d a JOIN d b ON b.image_id = a.image_id AND b.roi = a.roi AND (b.x <> a.x OR b.y <> a.y OR b.z <> a.z)),
+ s AS (SELECT image_id, roi, SUM(w) w, SUM(w * d1 * d2) c, SUM(w * (d1 - d2) ** 2) g FROM p GROUP BY 1, 2)
+SELECT image_id, roi, CASE WHEN ss > 0 THEN n / w * c / ss ELSE 1 END morph_moran_i, CASE WHEN ss > 0 THEN (n - 1) / (2 * w) * g / ss ELSE 1 END morph_geary_c FROM t JOIN s USING (image_id, roi)"""
+ORACLES["morph_autocorr"] = rounded(_AUTO, ["morph_moran_i", "morph_geary_c"])
+
 # --- pairing, union, reports --------------------------------------------------------------------------------------------------
 _FILES = """im AS (SELECT p_partkey k, '/img/case_' || p_partkey || ['.nii.gz', '.nrrd', '.dcm'][p_partkey % 3 + 1] path FROM part),
  ms AS (SELECT p_partkey k, '/seg/case_' || p_partkey || '.nii.gz' path FROM part WHERE p_size <= 25)"""
