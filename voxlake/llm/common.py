@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own, in local mode only."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if not found:
+        if not current.isDefined() and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
     if not current.isDefined():
         context.setCheckpointDir(found)
@@ -97,8 +98,8 @@ def held_out(doc_id) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
     """At most `most` labelled training rows (doc_id, text, y), chosen by the hash of the id and so the same at every run.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are never among them. Of several labels for one id the highest counts.
-    `most` bounds what is broadcast and what reaches the trainer, whatever the size of the corpus."""
+    Rows whose crc32(doc_id as text) mod 5 is 0 are never among them. Of several labels for one id the highest counts, of
+    several texts the smallest. `most` bounds what is broadcast and what reaches the trainer, whatever the size of the corpus."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
         .where(~held_out(F.col("doc_id")))
@@ -107,8 +108,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
-
-def softplus(x):
-    return np.logaddexp(0, x)

@@ -59,9 +59,9 @@ def place(df: DataFrame, key: str, shards: int = SHARDS, size: int = SLOTS) -> D
 def write_shards(df: DataFrame, key: str, path: str, shards: int = SHARDS, size: int = SLOTS, files_per_shard: int = 1) -> None:
     """Writes the rows, all columns, as Parquet in a folder for each shard (column `shard_`).
 
-    A shard's rows are dealt to `files_per_shard` tasks at random, since a key that a third of the rows hold makes its shard large."""
+    A shard's rows are dealt to `files_per_shard` tasks in turn, copies too, since a key that a third of the rows hold makes its shard large."""
     owners = ",".join(map(str, lookup_table(shard_names(shards), size)))
     slots = df.sparkSession.sql(f"SELECT pos AS slot_, CAST(col AS int) AS shard_ FROM (SELECT posexplode(split('{owners}', ',')))")
     dealt = df.withColumn("slot_", slot_of(F.col(key), size)).join(F.broadcast(slots), "slot_").drop("slot_")
-    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(files_per_shard))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard))
     dealt.repartition(shards * files_per_shard, "shard_", salt).write.partitionBy("shard_").parquet(path)

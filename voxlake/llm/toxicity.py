@@ -8,7 +8,7 @@ weigh nothing. Trained in numpy by proximal gradient steps (the L1 term removes
 a weight, a few hundred, are all that is broadcast, and `most_words` bounds them.
 
 Null and empty texts have no words and score the prior. Repeated rows score alike, ties are of no concern, an empty table
-gives an empty result, and without labelled rows every score is 0. Only doc_id and text are read, so other columns never
+gives an empty result, and without labelled rows every score is below 1e-12. Only doc_id and text are read, so other columns never
 clash.
 """
 
