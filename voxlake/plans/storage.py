@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 def tuned(spark: SparkSession) -> SparkSession:
     """Lets joins on (image, region, place) use a partitioning by (image, region), so voxels move once, before the explode.
 
-    A union must not claim its parts' partitioning: it has their partitions one after another, which joins can't zip."""
+    Both settings stay set in the session, since plans are made when a result is read. A union must not claim its parts' partitioning: it has their partitions one after another, which joins can't zip."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset, in local mode only."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if not found:
+        if not current.isDefined() and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
     if not current.isDefined():
         context.setCheckpointDir(found)
