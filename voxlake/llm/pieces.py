@@ -22,8 +22,11 @@ table gives an empty result. Only doc_id and text are read, so other columns nev
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE, OWN_SPACE, STOP, END = 0x2581, 0x110000, 0x110001, 10
 #: Characters of text in one vector batch.
-BATCH = 1 << 19
+BATCH = 3 << 18
 P, PLACE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Lattices are made for words of these sizes together, about so many cells at once; words beyond the last are on their own.
 SIZES = np.array([4, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 48])
@@ -276,6 +279,15 @@ class LongWord:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0), np.zeros(0, np.int32))
 
 
+def one_noise(seed: int, place: int, what: int) -> float:
+    """`noise` of a single place."""
+    m = (1 << 64) - 1
+    x = seed + what * 0xD1342543DE82EF95 + place * int(PLACE) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return ((x ^ x >> 31) >> 11) * 2.0**-53 + 2.0**-54
+
+
 def picked(cum: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.minimum((cum <= r[:, None]).sum(axis=1), cum.shape[1] - 1)
 
@@ -381,24 +393,24 @@ class Batch:
         if long is None:
             w = self.shelves[self.shelf[k]]
             rows = (np.arange(character, stop) - stop + w.n) * w.m + int(self.row[k])
-            cum, ids, sizes = w.cumulative[rows], w.ids[rows], w.sizes[rows].tolist()
+            cum, ids, sizes = w.cumulative[rows].tolist(), w.ids[rows].tolist(), w.sizes[rows].tolist()
         else:
-            cum, ids = long.rows(character - shift, character - shift + 1)
-            sizes = [range(1, cum.shape[1] + 1)]
-        p = shares(cum[0])
-        whole = p.copy()
-        p[[i for i, n in enumerate(sizes[0]) if n in used]] = 0
+            cum, ids = (x.tolist() for x in long.rows(character - shift, character - shift + 1))
+            sizes = [range(1, len(cum[0]) + 1)]
         steps, at = [], character
         while True:
-            r = float(noise(seed, np.array([at]), number)[0])
-            running = np.cumsum(p)
-            pick = min(int((running <= r * running[-1]).sum()), len(p) - 1)
-            step = sizes[at - character][pick]
-            steps.append((at, step, float(np.log(whole[pick])), int(ids[at - character, pick])))
-            at += step
+            row, size = cum[at - character], sizes[at - character]
+            r = one_noise(int(seed[0]), at, number)
+            if not steps:
+                p = [0.0 if n in used else b - a for a, b, n in zip([0.0, *row], row, size, strict=False)]
+                running = list(itertools.accumulate(p))
+                pick = min(bisect.bisect_right(running, r * running[-1]), len(p) - 1)
+            else:
+                pick = min(bisect.bisect_right(row, r), len(row) - 1)
+            steps.append((at, size[pick], math.log(row[pick] - (row[pick - 1] if pick else 0.0)), ids[at - character][pick]))
+            at += size[pick]
             if at >= stop or long is not None:
                 break
-            p = whole = shares(cum[at - character])
         parts = [np.array(x) for x in zip(*steps, strict=True)]
         if long is not None:
             places, lengths, chance, found = long.path(seed, shift, number, at - shift)
@@ -411,18 +423,11 @@ def truncated(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     return phi - np.log(np.exp(phi - bound) - np.log(u))
 
 
-def shares(running: np.ndarray) -> np.ndarray:
-    """The steps of a cumulative distribution."""
-    out = running.copy()
-    out[1:] -= running[:-1]
-    return out
-
-
 class Search:
     """The best-first search of one text; a node is a choice left behind on a path."""
 
-    def __init__(self, batch: Batch, a: int, seed: np.ndarray, path: tuple, top: float, values: np.ndarray):
-        self.batch, self.a, self.seed = batch, a, seed
+    def __init__(self, batch: Batch, a: int, seed: np.ndarray, path: tuple, top: float, values: np.ndarray, bare: bool):
+        self.batch, self.a, self.seed, self.bare = batch, a, seed, bare
         self.found = [(float(path[2].sum()), top, path)]
         #: (perturbed values from a step on, path, that step, probabilities of the lengths already taken there)
         self.nodes = [[values, path, 0, {}]]
@@ -462,7 +467,7 @@ class Search:
         out = []
         for logp, value, path in self.found:
             inclusion = 1.0 if not np.isfinite(self.threshold) else float(-np.expm1(-np.exp(min(700.0, logp - self.threshold))))
-            out.append((logp, value, inclusion, expanded(self.batch, self.a, path)))
+            out.append((logp, value, inclusion, expanded(self.batch, self.a, path) if self.bare else path[3]))
         return out
 
 
@@ -491,11 +496,13 @@ def sample_batch(texts: list[str | None], keys: list[int], k: int, v: Vocabulary
         before = (running[:-1] - running[cut[:-1]][doc]) * 2.0**-36
         place = at - batch.bounds[doc]
         values = left_behind(before, 1 - chance[at], top[doc], noise(seed[doc], place, 2000))
+        # A character without a piece is on every path.
+        bare = np.bincount(doc[ids[at] == NONE], minlength=len(texts)) > 0
         searches: list[Search | None] = []
         for d in range(len(texts)):
             x, y = int(cut[d]), int(cut[d + 1])
             path = (place[x:y], taken[at[x:y]], logs[x:y], ids[at[x:y]])
-            searches.append(Search(batch, int(batch.bounds[d]), seed[d : d + 1], path, float(top[d]), values[x:y].copy()) if y > x else None)
+            searches.append(Search(batch, int(batch.bounds[d]), seed[d : d + 1], path, float(top[d]), values[x:y].copy(), bool(bare[d])) if y > x else None)
         for number in range(1, k + 1):
             open_ = [x for x in searches if x is not None and len(x.found) == number]
             for x in open_:
@@ -528,12 +535,38 @@ def expanded(batch: Batch, a: int, path: tuple) -> np.ndarray:
     return out
 
 
+def pieces_bytes(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of pieces one after another, and where each piece ends."""
+    size = (v.offset[ids + 1] - v.offset[ids]).astype(np.int32)
+    stop = np.cumsum(size)
+    at = np.repeat((v.offset[ids] - (stop - size)).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return v.flat[at], stop
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of a segmentation."""
-    size = v.offset[ids + 1] - v.offset[ids]
-    stop = np.cumsum(size)
-    at = np.repeat(v.offset[ids] - (stop - size), size) + np.arange(int(size.sum()))
-    return v.flat[at].tobytes()[1:].decode("utf-8", "surrogatepass")
+    return pieces_bytes(ids, v)[0].tobytes()[1:].decode("utf-8", "surrogatepass")
+
+
+def round_trips(texts: list[str | None], found: list[list[tuple]], v: Vocabulary) -> list[list[bool]]:
+    """Whether each segmentation of each text decodes to it, some ten thousand pieces at once."""
+    out, begin, size = [], 0, 0
+    for d, rows in enumerate(found):
+        size += sum(len(r[3]) for r in rows)
+        if size > 1 << 14 or d == len(found) - 1:
+            part = found[begin : d + 1]
+            flat, stop = pieces_bytes(np.concatenate([np.zeros(0, np.int32), *[r[3] for rows in part for r in rows]]).astype(np.int32), v)
+            ends, a, k = np.concatenate([[0], stop]).tolist(), 0, 0
+            for text, rows in zip(texts[begin : d + 1], part, strict=True):
+                own, same = (" " + text).encode("utf-8", "surrogatepass") if text else b"", []
+                for r in rows:
+                    k += len(r[3])
+                    same.append(flat[a : ends[k]].tobytes() == own)
+                    a = ends[k]
+                out.append(same)
+            begin, size = d + 1, 0
+    return out
 
 
 def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[int], list[str | None]]]:
@@ -588,10 +621,10 @@ def report(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
         v = vocabulary(model)
         for docs, keys, texts in gathered(batches):
             out = []
-            for d, rows in enumerate(sample_batch(texts, keys, k, v)):
-                for number, (logp, value, inclusion, ids) in enumerate(rows, 1):
+            found = sample_batch(texts, keys, k, v)
+            for d, (rows, told) in enumerate(zip(found, round_trips(texts, found, v), strict=True)):
+                for number, ((logp, value, inclusion, ids), same) in enumerate(zip(rows, told, strict=True), 1):
                     packed = ids.astype("<i4").tobytes()
-                    same = decode(ids, v) == (texts[d] or "")
                     out.append((docs[d], number, len(ids), logp, value, inclusion, hashlib.sha256(packed).hexdigest(), same))
             yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip"])
 
