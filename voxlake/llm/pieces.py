@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SPACE, OWN_SPACE, STOP, END = 0x2581, 0x110000, 0x110001, 10
 #: Characters of text in one vector batch.
-BATCH = 3 << 18
+BATCH = 1 << 19
 P, PLACE = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Lattices are made for words of these sizes together, about so many cells at once; words beyond the last are on their own.
 SIZES = np.array([4, 6, 7, 8, 9, 10, 11, 12, 14, 16, 24, 48])
