@@ -91,11 +91,13 @@ class Vocabulary:
                 known[h] = i if k == len(piece) else known.get(h, PREFIX)
         self.keys = np.array(sorted(known), np.uint64)
         self.ids = np.array([known[k] for k in self.keys.tolist()], np.int32)
-        # Each slot names one key that falls there; keys that share a slot are looked up by bisection.
+        # Each slot names the key that falls there; keys that share a slot are looked up by bisection.
         slots = self.slot(self.keys)
         self.first = np.full(1 << 20, -1, np.int32)
-        self.first[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
-        self.shared = np.bincount(slots, minlength=1 << 20) > 1
+        self.first[slots] = np.arange(len(slots))
+        self.first[np.bincount(slots, minlength=1 << 20) > 1] = -2
+        #: The piece of every single character.
+        self.single = self.find(np.arange(1, STOP + 2, dtype=np.uint64))
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
@@ -104,9 +106,9 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, PREFIX if it only begins pieces, or NONE."""
         slot = self.slot(h)
-        at = self.first[slot]
-        out = np.where((at >= 0) & (self.keys[at] == h), self.ids[at], NONE)
-        crowd = np.flatnonzero(self.shared[slot])
+        at = self.first.take(slot)
+        out = np.where((at >= 0) & (self.keys.take(at, mode="wrap") == h), self.ids.take(at, mode="wrap"), NONE)
+        crowd = np.flatnonzero(at == -2)
         if len(crowd):
             at = np.minimum(np.searchsorted(self.keys, h[crowd]), len(self.keys) - 1)
             out[crowd] = np.where(self.keys[at] == h[crowd], self.ids[at], NONE)
@@ -154,24 +156,24 @@ def edges(chars: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.
     """All pieces at all places of words that each end with `STOP`: (place, number there, length, id), id NONE for a bare character.
 
     All places grow at once, a character a step; a place is done with when no piece begins as it does."""
-    live, h = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.uint64)
+    live, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
     count = np.zeros(len(chars), np.int8)
     wide = np.concatenate([chars.astype(np.uint64) + np.uint64(1), np.zeros(v.longest, np.uint64)])
     out = []
     for k in range(v.longest):
-        h = h * P + wide[live + k]
-        entry = v.find(h)
+        h = h * P + wide.take(live + k)
+        entry = v.find(h) if k else v.single.take(chars)
         if not k:
             bare = np.flatnonzero((entry == NONE) & (chars != STOP))
             count[bare] = 1
             out.append((bare, np.zeros(len(bare), np.int8), np.ones(len(bare), np.int8), np.full(len(bare), NONE, np.int32)))
         ok = np.flatnonzero(entry != NONE)
-        live, h, entry = live[ok], h[ok], entry[ok]
+        live, h, entry = live.take(ok), h.take(ok), entry.take(ok)
         hit = np.flatnonzero(entry != PREFIX)
-        at = live[hit]
-        number = count[at]
+        at = live.take(hit)
+        number = count.take(at)
         count[at] = number + 1
-        out.append((at, number, np.full(len(hit), k + 1, np.int8), entry[hit]))
+        out.append((at, number, np.full(len(hit), k + 1, np.int8), entry.take(hit)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -184,21 +186,23 @@ class Words:
         self.n, self.m = n, m
         word = np.repeat(np.arange(m), length + 1)
         first = np.cumsum(length + 1) - (length + 1)
-        step = np.arange(len(word)) - first[word]
+        step = np.arange(len(word)) - first.take(word)
         place, number, size, found = edges(np.where(step < length[word], text[np.minimum(start[word] + step, len(text) - 1)], STOP), v)
         row = ((n - length[word] + step) * m + word)[place]
         width = int(number.max()) + 1
         self.ids, self.sizes, mass = np.full((m * n, width), NONE, np.int32), np.zeros((m * n, width), np.int8), np.zeros((m * n, width))
-        self.ids[row, number], self.sizes[row, number] = found, size
+        cell = row * width + number
+        self.ids.ravel()[cell], self.sizes.ravel()[cell] = found, size
         # Every path takes a bare character by itself, so its score cancels out and counts as 1: no word of this size underflows.
-        mass[row, number] = np.where(found == NONE, 1.0, v.chance[found])
+        mass.ravel()[cell] = np.where(found == NONE, 1.0, v.chance.take(found, mode="wrap"))
         beta = np.zeros(m * (n + 1))
         beta[n * m :] = 1
         for i in range(n - 1, -1, -1):
             a, b = i * m, i * m + m
-            mass[a:b] *= beta[np.arange(a, b)[:, None] + self.sizes[a:b] * np.int64(m)]
+            mass[a:b] *= beta.take(np.arange(a, b)[:, None] + self.sizes[a:b] * np.int64(m))
             np.einsum("mw->m", mass[a:b], out=beta[a:b])
-        np.cumsum(mass, axis=1, out=mass)
+        for k in range(1, width):
+            mass[:, k] += mass[:, k - 1]
         mass /= np.where(mass[:, -1:] > 0, mass[:, -1:], 1)
         self.cumulative = mass
 
@@ -289,7 +293,8 @@ def one_noise(seed: int, place: int, what: int) -> float:
 
 
 def picked(cum: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return np.minimum((cum <= r[:, None]).sum(axis=1), cum.shape[1] - 1)
+    passed = np.einsum("rw->r", (cum <= r[:, None]).view(np.int8))
+    return np.minimum(passed, np.int8(cum.shape[1] - 1)).astype(np.int64)
 
 
 def chance_of(cum: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -364,15 +369,16 @@ class Batch:
             row = (w.n - self.length[live]) * w.m + self.row[live]
             salt = salts[self.doc[live]]
             while len(at):
-                pick = picked(w.cumulative[row], mixed(salt + at.astype(np.uint64) * PLACE))
-                cum, cell = w.cumulative.ravel(), row * w.ids.shape[1] + pick
-                step = w.sizes.ravel()[cell].astype(np.int64)
+                pick = picked(w.cumulative.take(row, axis=0), mixed(salt + at.astype(np.uint64) * PLACE))
+                cell = row * w.ids.shape[1] + pick
+                step = w.sizes.ravel().take(cell).astype(np.int64)
                 taken[at] = step
-                chance[at] = cum[cell] - np.where(pick > 0, cum[np.maximum(cell - 1, 0)], 0)
-                ids[at] = w.ids.ravel()[cell]
+                cum = w.cumulative.ravel()
+                chance[at] = cum.take(cell) - np.where(pick > 0, cum.take(cell - 1, mode="wrap"), 0)
+                ids[at] = w.ids.ravel().take(cell)
                 row, at = row + step * w.m, at + step
                 more = np.flatnonzero(row < w.n * w.m)
-                row, at, salt = row[more], at[more], salt[more]
+                row, at, salt = row.take(more), at.take(more), salt.take(more)
         for k in self.order[shelf == -1].tolist():
             a, d = int(self.start[k]), int(self.doc[k])
             places, lengths, p, found = self.long_word(k).path(seed[d : d + 1], a - int(self.bounds[d]), number, 0)
