@@ -23,13 +23,16 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes with several edges up, or with edges both up and down: none are left when every component is a star."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node that is not itself the smallest of its component. `edges` has long columns a and b."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stored(edges, "edges"), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before or not now[0]:
-            return edges.select("a", F.col("b").alias("root"))
-        before = tuple(now)
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not unfinished(edges).isEmpty():
         edges = stored(small_star(large_star(edges)), "edges")
+    return edges.select("a", F.col("b").alias("root"))
