@@ -97,7 +97,10 @@ class Vocabulary:
         self.first[slots] = np.arange(len(slots))
         self.first[np.bincount(slots, minlength=1 << 20) > 1] = -2
         #: The piece of every single character.
-        self.single = self.find(np.arange(1, STOP + 2, dtype=np.uint64))
+        self.single = np.full(STOP + 1, NONE, np.int32)
+        for i, piece in plain:
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
