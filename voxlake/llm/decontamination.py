@@ -116,6 +116,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, with_text: bool = False)
         shared = docs.sparkSession.sparkContext.broadcast(part)
         keep = with_text or number < len(parts) - 1
 
+        @lean
         def scan(batches: Iterator[pd.DataFrame], shared=shared, keep=keep) -> Iterator[pd.DataFrame]:
             automaton = Automaton(shared.value)
             for pdf in batches:
@@ -174,6 +175,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for number, part in enumerate(parts):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
+        @lean
         def kept(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             automaton = Automaton(shared.value)
             for pdf in batches:

@@ -47,8 +47,10 @@ LONG = int(SIZES[-1])
 CELLS = 1 << 20
 #: Places of a long word that share an offset, and that are looked at together.
 STRIDE, BLOCK = 64, 1 << 14
-_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 20, P))])
-_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 20, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
+#: Ready for a batch and the spaces before its texts; every worker of a pipeline keeps them.
+_READY = BATCH + (1 << 12)
+_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_READY, P))])
+_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_READY, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
 NONE, PREFIX = -1, -2
 
 

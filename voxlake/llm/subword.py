@@ -26,8 +26,10 @@ GAIN = 30.0
 SCHEMA = "doc_id long, score double"
 _MULT = np.uint32(0x9E3779B1)
 _STEP = np.uint64(0x100000001B3)
-_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, _STEP))])
-_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(1 << 21, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
+#: Ready for a range of `by_size` and the spaces between its texts; every worker of a pipeline keeps them.
+_READY = (1 << 20) + (1 << 12)
+_POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_READY, _STEP))])
+_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_READY, np.uint64(pow(0x100000001B3, -1, 1 << 64))))])
 
 
 def powers(table: np.ndarray, n: int) -> np.ndarray:
