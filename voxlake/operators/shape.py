@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from voxlake.operators.texture import ROI
+from voxlake.operators.batches import SLAB, Places, in_slabs, streamed
+from voxlake.operators.texture import DIRECTIONS, ROI
 
 CORNERS = [(k & 1, k >> 1 & 1, k >> 2) for k in range(8)]
 
@@ -79,17 +79,35 @@ def cell_table(spacing: Sequence[float]) -> list[tuple[float, float, float, floa
 def mesh(vox: DataFrame, spacing: Sequence[float]) -> DataFrame:
     """(image_id, roi, area, volume) of the surface at one half of the 0/1 mask.
 
-    Each voxel gives one bit to the eight cells around it; cells are combined by configuration, and a table of 256 rows,
-    written into the plan as a literal, holds each configuration's area and divergence sum."""
-    cells = F.expr("array(" + ",".join(f"named_struct('bit',{1 << k},'a',{a},'b',{b},'c',{c})" for k, (a, b, c) in enumerate(CORNERS)) + ")")
-    each = vox.select(*ROI, "x", "y", "z").withColumn("o", F.explode(cells))
-    codes = each.groupBy(*ROI, *[(F.col(a) - F.col(f"o.{k}")).alias(f"c{a}") for a, k in zip("xyz", "abc", strict=True)]).agg(F.sum("o.bit").cast("int").alias("code"))
-    table = cell_table(spacing)
-    lit = lambda k: F.expr("array(" + ",".join(f"{r[k]!r}D" for r in table) + ")")
-    pick = lambda k: F.element_at(lit(k), F.col("code") + 1)
-    place = [F.col(f"c{a}") * s for a, s in zip("xyz", spacing, strict=True)]
-    flux = pick(1) + place[0] * pick(2) + place[1] * pick(3) + place[2] * pick(4)
-    return codes.groupBy(*ROI).agg(F.sum(pick(0)).alias("area"), F.abs(F.sum(flux)).alias("volume"))
+    Each voxel gives one bit to the eight cells around it; a table of 256 rows holds each configuration's area and divergence sum.
+    Slabs of a region are summed up apart, so a tall one is the work of many tasks."""
+    table = np.array(cell_table(spacing))
+
+    def work(g: np.ndarray, c: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        p = Places(g, [c[a] for a in "xyz"])
+        steps = [p.step([-k for k in corner]) for corner in CORNERS]
+        # Cells lie at packed places like voxels do; all that a voxel touches are looked at once.
+        cells = np.unique(np.concatenate([p.key + s for s in steps]))
+        code = np.zeros(len(cells), np.int64)
+        for k, s in enumerate(steps):
+            code += (p.at(cells - s) >= 0).astype(np.int64) << k
+        region, place = np.divmod(cells, p.whole)
+        low = np.zeros((3, int(g.max()) + 1))
+        for a in range(3):
+            low[a, p.g] = p.lows[a][p.order]
+        z, rest = np.divmod(place, p.stride[2])
+        y, x = np.divmod(rest, p.stride[1])
+        at = [v - 1 + low[a, region] for a, v in enumerate((x, y, z))]
+        slab = np.zeros(low.shape[1], np.int64)
+        slab[g] = c["slab"]
+        own = (at[2] + 1) // SLAB == slab[region]  # a cell lies in the slab of its upper slice, where both its slices are
+        region, code, at = region[own], code[own], [v[own] * s for v, s in zip(at, spacing, strict=True)]
+        area, flux = table[code, 0], table[code, 1] + at[0] * table[code, 2] + at[1] * table[code, 3] + at[2] * table[code, 4]
+        some = np.unique(region)
+        yield {"group": some, "area": np.bincount(region, area)[some], "flux": np.bincount(region, flux)[some]}
+
+    parts = streamed(in_slabs(vox.select(*ROI, "x", "y", "z"), "z", 1), [*ROI, "slab_"], work, "area double, flux double")
+    return parts.groupBy(*ROI).agg(F.sum("area").alias("area"), F.abs(F.sum("flux")).alias("volume"))
 
 
 def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> list[Column]:
@@ -159,92 +177,190 @@ def shape_features(vox: DataFrame, spacing: Sequence[float]) -> DataFrame:
     return m.select(*ROI, *[c.alias(f"morph_{k}") for k, c in values.items()], *[f"morph_{k}" for k in own])
 
 
-def autocorrelation(vox: DataFrame, spacing: Sequence[float], blocks: int = 8) -> DataFrame:
+#: Voxels of a region whose pairs are the work of one task, and pairs that are looked at together.
+OWN, PAIRS = 16_384, 1 << 20
+
+
+def autocorrelation(vox: DataFrame, spacing: Sequence[float], own: int = OWN) -> DataFrame:
     """Moran's I and Geary's C over all pairs of a region's voxels, weights 1 / distance, exact at any size.
 
-    One side of the pairs is cut into blocks by a salt, so a large region is the work of many tasks; pairs are summed where
-    they are made and never leave their task."""
-    known = vox.where("intensity IS NOT NULL").select(*ROI, "x", "y", "z", "intensity")
-    w = Window.partitionBy(*ROI)
-    known = known.withColumn("dev", F.col("intensity") - F.avg("intensity").over(w))
-    total = known.groupBy(*ROI).agg(F.count("*").alias("n"), F.sum(F.col("dev") * F.col("dev")).alias("ss"))
-    left = known.withColumn("salt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(blocks)))
-    right = known.select(*ROI, *[F.col(c).alias(f"{c}2") for c in ("x", "y", "z", "dev")]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = left.join(right, [*ROI, "salt"]).where("x <> x2 OR y <> y2 OR z <> z2")
-    squared = sum(((F.col(a) - F.col(f"{a}2")) * s) * ((F.col(a) - F.col(f"{a}2")) * s) for a, s in zip("xyz", spacing, strict=True))
-    weight = 1 / F.sqrt(squared)
-    gap = F.col("dev") - F.col("dev2")
-    sums = pairs.groupBy(*ROI).agg(F.sum(weight).alias("w"), F.sum(weight * F.col("dev") * F.col("dev2")).alias("cross"), F.sum(weight * gap * gap).alias("gaps"))
-    joined = total.join(sums, ROI)
+    Pairs are summed where they are made and never are rows. A region of over `own` voxels is the work of several tasks: each gets
+    all its voxels, and meets a share of them with all."""
+    known = vox.where("intensity IS NOT NULL").select(*ROI, "x", "y", "z", F.col("intensity").cast("double").alias("intensity"))
+    sizes = known.groupBy(*ROI).agg(F.ceil(F.count("*") / own).cast("int").alias("blocks_")).where("blocks_ > 1")
+    blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks_", F.lit(1)) - 1))
+    rows = known.join(F.broadcast(sizes), ROI, "left").select(*ROI, blocks.alias("block_"), F.coalesce("blocks_", F.lit(1)).alias("blocks"), "x", "y", "z", "intensity", F.col("intensity").alias("v"))
+    rows = rows.select(*ROI, "block_", F.col("block_").alias("block"), "blocks", "x", "y", "z", "v")
+
+    def work(g: np.ndarray, c: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        out = np.zeros((5, len(first)))
+        for k, (low, high) in enumerate(zip(first, [*first[1:], len(g)], strict=True)):
+            at = np.lexsort([c[a][low:high] for a in "xyz"]) + low
+            place = [c[a][at] * float(s) for a, s in zip("xyz", spacing, strict=True)]
+            n, v = len(at), c["v"][at]
+            dev = v - v.mean() if v.min() < v.max() else np.zeros(n)
+            share = np.arange(c["block"][low], n, c["blocks"][low])
+            both = np.stack([np.ones(n), dev], 1)
+            for start in range(0, len(share), max(1, PAIRS // n)):
+                mine = share[start : start + max(1, PAIRS // n)]
+                squared = np.zeros((len(mine), n))
+                for axis in place:
+                    gap = axis[mine, None] - axis
+                    gap *= gap
+                    squared += gap
+                squared[np.arange(len(mine)), mine] = np.inf
+                weight, near = (1 / np.sqrt(squared) @ both).T
+                out[2:, k] += weight.sum(), (dev[mine] * near).sum(), (dev[mine] * dev[mine] * weight).sum()
+            out[:2, k] = n, (dev * dev).sum()
+        yield {"group": np.arange(len(first)), **dict(zip(("n", "ss", "w", "cross", "own"), out, strict=True))}
+
+    parts = streamed(rows, [*ROI, "block_"], work, "n double, ss double, w double, cross double, own double")
+    s = parts.groupBy(*ROI).agg(F.max("n").alias("n"), F.max("ss").alias("ss"), *[F.sum(c).alias(c) for c in ("w", "cross", "own")]).where("n > 1")
     ok = F.when(F.col("ss") > 0, F.col("ss"))
-    return joined.select(
+    # Each pair counts in both orders, so the squared gaps are twice the own squares less twice the products.
+    gaps = 2 * (F.col("own") - F.col("cross"))
+    return s.select(
         *ROI, F.coalesce(F.col("n") / F.col("w") * F.col("cross") / ok, F.lit(1.0)).alias("morph_moran_i"),
-        F.coalesce((F.col("n") - 1) / (2 * F.col("w")) * F.col("gaps") / ok, F.lit(1.0)).alias("morph_geary_c"),
+        F.coalesce((F.col("n") - 1) / (2 * F.col("w")) * gaps / ok, F.lit(1.0)).alias("morph_geary_c"),
     )
 
 
 def hull_faces(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of the convex hull of integer points, normals outwards, by insertion; empty when the points are flat."""
-    n = len(points)
-    p = [tuple(int(c) for c in q) for q in points]
-
-    def volume(a: int, b: int, c: int, d: int) -> int:
-        ax, ay, az = (p[a][k] - p[d][k] for k in range(3))
-        bx, by, bz = (p[b][k] - p[d][k] for k in range(3))
-        cx, cy, cz = (p[c][k] - p[d][k] for k in range(3))
-        return ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)
-
-    def parallel(a: int, b: int, c: int) -> bool:
-        return not np.cross(points[b] - points[a], points[c] - points[a]).any()
-
-    second = next((k for k in range(1, n) if p[k] != p[0]), None)
-    third = next((k for k in range(n) if second is not None and not parallel(0, second, k)), None)
-    fourth = next((k for k in range(n) if third is not None and volume(0, second, third, k)), None)
-    if fourth is None:
+    """Triangles of the convex hull of integer points, normals outwards; empty when the points are flat.
+
+    Each point waits at one face that sees it, and the farthest of a face goes in next; only the points of the faces that it hides
+    are dealt out again. Whole numbers throughout, so what is coplanar is told exactly."""
+    p = np.asarray(points, np.int64)
+    p = p - p[0]
+    second = int(np.argmax((p * p).sum(1)))
+    normals = np.cross(p[second], p)
+    third = int(np.argmax((normals.astype(float) ** 2).sum(1)))
+    heights = p @ normals[third]
+    fourth = int(np.argmax(np.abs(heights)))
+    if not heights[fourth]:
         return []
-    base = [0, second, third, fourth]
-    faces: set[tuple[int, int, int]] = set()
-    for k in range(4):
-        a, b, c = (base[j] for j in range(4) if j != k)
-        faces.add((a, b, c) if volume(a, b, c, base[k]) > 0 else (a, c, b))
-    for k in range(n):
-        if k in base:
-            continue
-        seen = [f for f in faces if volume(*f, k) < 0]
-        if not seen:
-            continue
-        rim = {(f[i], f[(i + 1) % 3]) for f in seen for i in range(3)}
-        faces.difference_update(seen)
-        faces.update((a, b, k) for a, b in rim if (b, a) not in rim)
-    return list(faces)
+    base = [0, third, second, fourth] if heights[fourth] > 0 else [0, second, third, fourth]
+    place = p.tolist()
+    corners, planes, waiting, edges = {}, {}, {}, {}
+
+    def add(i: int, j: int, k: int) -> int:
+        number = len(planes)
+        (px, py, pz), (qx, qy, qz), (rx, ry, rz) = place[i], place[j], place[k]
+        ax, ay, az, bx, by, bz = qx - px, qy - py, qz - pz, rx - px, ry - py, rz - pz
+        nx, ny, nz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+        planes[number], corners[number] = (nx, ny, nz, nx * px + ny * py + nz * pz), (i, j, k)
+        edges[i, j] = edges[j, k] = edges[k, i] = number
+        return number
+
+    def deal(rows: list[int], numbers: list[int]) -> None:
+        """Every row to the first face that sees it, the farthest one of a face to the end; rows that none sees are inside."""
+        if len(rows) > 256:
+            left = np.array(rows)
+            for number in numbers:
+                *normal, level = planes[number]
+                above = p[left] @ np.array(normal) - level
+                seen = above > 0
+                if seen.any():
+                    own = left[seen].tolist()
+                    own.append(own.pop(int(np.argmax(above[seen]))))
+                    waiting[number] = own
+                    left = left[~seen]
+            return
+        known = [(number, *planes[number]) for number in numbers]
+        most = {}
+        for row in rows:
+            x, y, z = place[row]
+            for number, nx, ny, nz, level in known:
+                above = nx * x + ny * y + nz * z - level
+                if above > 0:
+                    own = waiting.setdefault(number, [])
+                    if above > most.get(number, 0):
+                        most[number] = above
+                        own.append(row)
+                    else:
+                        own.insert(0, row)
+                    break
+
+    a, b, c, d = base
+    first = [add(a, b, c), add(a, d, b), add(b, d, c), add(c, d, a)]
+    deal([k for k in range(len(p)) if k not in base], first)
+    while waiting:
+        start = next(iter(waiting))
+        k = waiting[start].pop()
+        x, y, z = place[k]
+        hidden, rim, open_ = {start}, [], [start]
+        while open_:
+            i, j, m = corners[open_.pop()]
+            for e, f in ((i, j), (j, m), (m, i)):
+                number = edges[f, e]
+                if number not in hidden:
+                    nx, ny, nz, level = planes[number]
+                    if nx * x + ny * y + nz * z > level:
+                        hidden.add(number)
+                        open_.append(number)
+                    else:
+                        rim.append((e, f))
+        rows = []
+        for number in hidden:
+            i, j, m = corners.pop(number)
+            del edges[i, j], edges[j, m], edges[m, i]
+            rows += waiting.pop(number, [])
+        deal(rows, [add(e, f, k) for e, f in rim])
+    return list(corners.values())
+
+
+def ends(g: np.ndarray, xyz: Sequence[np.ndarray]) -> np.ndarray:
+    """Voxels that are the first or the last of their line in each of the 13 directions; corners of the hull are among them."""
+    rows = np.arange(len(g))
+    for offset in DIRECTIONS:
+        axis = next(k for k in range(3) if offset[k])
+        pos = xyz[axis][rows]
+        line = [xyz[k][rows] - pos * offset[k] for k in range(3) if k != axis]
+        key = g[rows]
+        for c in line:
+            c = c - c.min(initial=0)
+            key = key * (int(c.max(initial=0)) + 1) + c
+        order = np.lexsort((pos, key))
+        key = key[order]
+        new = np.diff(key, prepend=-1) != 0
+        edge = new | np.append(new[1:], True)
+        rows = np.sort(rows[order[edge]])
+    return rows
 
 
 def hull_features(vox: DataFrame, spacing: Sequence[float]) -> DataFrame:
-    """(image_id, roi, hull_volume, hull_area, morph_max_3d_diameter) of the mesh vertices; numpy on the outermost points of a region.
+    """(image_id, roi, hull_volume, hull_area, morph_max_3d_diameter) of the mesh vertices, half a voxel out along each axis.
 
-    Only the extreme vertices of every line along x can be corners of the hull, so a region sends few points."""
-    ends = vox.groupBy(*ROI, "y", "z").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    kind = dict(vox.dtypes)["image_id"]
+    They are the sums of a voxel and half a step, so corners of their hull belong to corners of the voxels' hull. Only the ends of
+    every line along x can be such corners, so a region sends few points."""
     scale = np.array(spacing, float) / 2
-
-    def made(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, x1, y, z = (2 * pdf[c].to_numpy(np.int64) for c in ("x0", "x1", "y", "z"))
-        both = np.concatenate([np.stack([x0, y, z], 1), np.stack([x1, y, z], 1)])
-        step = np.concatenate([np.eye(3, dtype=np.int64), -np.eye(3, dtype=np.int64)])
-        points = np.unique((both[:, None] + step).reshape(-1, 3), axis=0)
-        faces = hull_faces(points)
-        mm = points * scale
-        corners = mm[sorted({i for f in faces for i in f})]
-        volume = area = diameter = 0.0
-        for a, b, c in faces:
-            cross = np.cross(mm[b] - mm[a], mm[c] - mm[a])
-            area += float(np.linalg.norm(cross)) / 2
-            volume += float(mm[a] @ cross) / 6
-        for k in range(len(corners)):
-            diameter = max(diameter, float(np.sqrt(((corners - corners[k]) ** 2).sum(1)).max()))
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "roi": [pdf.roi.iloc[0]], "hull_volume": [abs(volume)], "hull_area": [area], "morph_max_3d_diameter": [diameter]})
-
-    return ends.groupBy(*ROI).applyInPandas(made, f"image_id {kind}, roi string, hull_volume double, hull_area double, morph_max_3d_diameter double")
+    step = np.concatenate([np.eye(3, dtype=np.int64), -np.eye(3, dtype=np.int64)])
+    lines = vox.groupBy(*ROI, "y", "z").agg(F.array_distinct(F.array(F.min("x"), F.max("x"))).alias("x"))
+
+    def work(g: np.ndarray, c: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        rows = ends(g, [c[a].astype(np.int64) for a in "xyz"])
+        place, g = np.stack([2 * c[a][rows].astype(np.int64) for a in "xyz"], 1), g[rows]
+        cuts = np.flatnonzero(np.diff(g, prepend=-1))
+        out = np.zeros((3, len(cuts)))
+        for k, own in enumerate(np.split(place, cuts[1:])):
+            inner = {i for f in hull_faces(own) for i in f}
+            corners = own[sorted(inner)] if inner else own  # a flat region keeps all
+            low = corners.min(0) - 1
+            points = (corners[:, None] - low + step).reshape(-1, 3)
+            size = points.max(0) + 1
+            points = np.stack(np.unravel_index(np.unique(np.ravel_multi_index(points.T, size)), size), 1) + low
+            faces = np.array(hull_faces(points))
+            mm = points * scale
+            a, b, d = (mm[faces[:, i]] for i in range(3))
+            cross = np.cross(b - a, d - a)
+            at = mm[np.unique(faces)]
+            far = max((((at - v) ** 2).sum(1).max() for v in at), default=0.0)
+            out[:, k] = abs((a * cross).sum() / 6), np.sqrt((cross**2).sum(1)).sum() / 2, np.sqrt(far)
+        yield {"group": g[cuts], "hull_volume": out[0], "hull_area": out[1], "morph_max_3d_diameter": out[2]}
+
+    rows = lines.select(*ROI, F.explode("x").alias("x"), "y", "z")
+    return streamed(rows, ROI, work, "hull_volume double, hull_area double, morph_max_3d_diameter double")
 
 
 def all_features(vox: DataFrame, spacing: Sequence[float]) -> DataFrame:
