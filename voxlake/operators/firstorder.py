@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxlake.operators.batches import SLAB, Places, in_slabs, streamed
 from voxlake.operators.texture import ROI, entropy
 
 STAT = ("mean", "var", "skew", "kurt", "median", "min", "p10", "p90", "max", "iqr", "range", "mad", "rmad", "medad", "cov", "qcod", "energy", "rms")
@@ -119,16 +121,51 @@ def sphere(spacing: Sequence[float]) -> list[tuple[int, int, int]]:
 
 
 def intensity_peak(vox: DataFrame, image: DataFrame, spacing: Sequence[float]) -> DataFrame:
-    """Local and global peak: the largest mean over a 1 cubic centimetre ball, of the image's voxels, inside the region or not."""
-    ball = F.expr("array(" + ",".join(f"named_struct('dx',{a},'dy',{b},'dz',{c})" for a, b, c in sphere(spacing)) + ")")
-    # Every image voxel gives its value to the centres around it; the sums are combined before they meet the regions.
-    given = image.withColumn("o", F.explode(ball)).select("image_id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"], "intensity")
-    means = given.groupBy("image_id", "x", "y", "z").agg(F.avg("intensity").alias("ball"))
-    centres = vox.select(*ROI, "x", "y", "z", F.col("intensity").alias("own")).join(means, ["image_id", "x", "y", "z"])
-    top = F.max("own").over(Window.partitionBy(*ROI))
-    return centres.withColumn("top", top).groupBy(*ROI).agg(
-        F.max(F.when(F.col("own") == F.col("top"), F.col("ball"))).alias("loc_peak_loc"), F.max("ball").alias("loc_peak_glob")
-    )
+    """Local and global peak: the largest mean over a 1 cubic centimetre ball, of the image's voxels, inside the region or not.
+
+    Slabs of an image with the slices around them are looked at apart; the values of a ball are looked up by place."""
+    ball = sphere(spacing)
+    reach = [max(o[a] for o in ball) for a in range(3)]
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    given = in_slabs(image.select("image_id", F.lit("").alias("name"), F.lit(False).alias("centre"), "x", "y", "z", number("intensity").alias("v")), "z", 2 * reach[2])
+    slab = F.floor((F.col("z") + reach[2]) / SLAB).cast("int")
+    centres = vox.select("image_id", F.col("roi").alias("name"), F.lit(True).alias("centre"), "x", "y", "z", number("intensity").alias("v"), slab.alias("slab"), slab.alias("slab_"))
+
+    def work(g: np.ndarray, c: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        rows = np.flatnonzero(c["centre"])
+        at = Places(g, [c[a] for a in "xyz"], max(reach))
+        key = np.empty(len(g), np.int64)
+        key[at.order] = at.key
+        # Centres and voxels share one grid of places; values are looked up among the voxels only.
+        image_rows = np.flatnonzero(~c["centre"])
+        order = image_rows[np.argsort(key[image_rows], kind="stable")]
+        places, values, centre = key[order], c["v"][order], key[rows]
+        known = np.where(np.isnan(values), 0.0, 1.0)
+        values = np.where(known > 0, values, 0.0)
+        table = None
+        if at.table is not None:
+            table = np.full(len(at.table), -1, np.int32)
+            table[places] = np.arange(len(places), dtype=np.int32)
+        count, total, met = np.zeros((3, len(rows)))
+        for offset in ball:
+            to = centre + at.step(offset)
+            if table is not None:
+                found = table[to]
+                hit = np.flatnonzero(found >= 0)
+            else:
+                found = np.minimum(np.searchsorted(places, to), max(0, len(places) - 1))
+                hit = np.flatnonzero(places[found] == to) if len(places) else np.zeros(0, np.int64)
+            found = found[hit]
+            met[hit] += 1
+            count[hit] += known[found]
+            total[hit] += values[found]
+        keep = np.flatnonzero(met)
+        ball_mean = np.where(count > 0, total / np.maximum(count, 1), np.nan)[keep]
+        yield {"group": g[rows[keep]], "roi": c["name"][rows[keep]], "own": c["v"][rows[keep]], "ball": ball_mean}
+
+    means = streamed(given.unionByName(centres), ["image_id", "slab_"], work, "roi string, own double, ball double")
+    # Values of the highest intensity come last in the order of (own, ball), and of those the one of the highest mean.
+    return means.groupBy(*ROI).agg(F.max(F.when(F.col("own").isNotNull(), F.struct("own", "ball"))).getField("ball").alias("loc_peak_loc"), F.max("ball").alias("loc_peak_glob"))
 
 
 def moment_invariants(vox: DataFrame) -> DataFrame:
