@@ -30,6 +30,9 @@ def extract(
         q = prep.lloyd(vox, bins or 25)
     else:
         q = prep.fixed_bin_number(vox, bins) if bins else prep.fixed_bin_size(vox, width or 25.0, anchor)
+    # All families read the voxels with their levels from here, so what makes them runs once.
+    q = stored(q, "levels")
+    vox = q.drop("level")
     six, three = modes_of(dims, MODES6), modes_of(dims, MODES3)
     first = "1st" in dims
     parts = []
